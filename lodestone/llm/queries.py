@@ -16,6 +16,13 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages"), least=1000)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import groups
+
+    out = groups(_table(spark, sf_dir, "documents"), similarity=0.8, width=4)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -60,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_exact_dedup, op7_quality_rules, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_near_dedup, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_exact_dedup, op7_quality_rules, op9_packing, op10_mixing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
