@@ -53,6 +53,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_report
+
+    return dedup_report(_table(spark, sf_dir, "documents"), edits=2, least=16)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_near_dedup, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_exact_dedup, op7_quality_rules, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_near_dedup, op3_quality_classifier, op4_license_scan, op5_url_filter, op6_exact_dedup, op7_quality_rules, op8_line_dedup, op9_packing, op10_mixing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
