@@ -20,10 +20,13 @@ number of ids; the last window of a chunk is carried into the next.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -33,38 +36,68 @@ WORDS = re.compile(r"[^ \t-\r]+").findall
 #: Cost of a cut within a document, in ids of padding.
 SENTENCE_CUT, HARD_CUT = 2.0, 24.0
 #: A window of any size costs a little, so that streams are not cut into many short ones.
-WINDOW = 4.0
+WINDOW = 8.0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space, so that words can be encoded one by one and kept.
+_CLOSING = ".,!?*$%&#|;:"
 
-    Splitting at ASCII white space is safe: the tokenizer's own patterns never
-    span it. Up to `keep` words' ids stay in memory; then the memory is cleared.
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each Latin letter: printable bytes stand for themselves, the others for U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(0x100) if x not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+class WordIds(dict):
+    """Ids (little-endian bytes) of words, worked out when first asked for.
+
+    The tokenizer must drop white space, lower-case, and set letters apart from
+    other characters, byte-level, as the given one does; then closing
+    punctuation can be set apart from a letter before it, and a word of Latin
+    letters is one piece for the model. Other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tok = Tokenizer.from_file(path)
+        self.model, self.letters = self.tok.model, _byte_letters()
         ends = [self.tok.token_to_id(x + "</w>") for x in (".", "!", "?", ".\"", "!\"", "?\"", ".)", "...", "!!", "??", "?!")]
         self.sentence_end = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.sentence_end[[x for x in ends if x is not None]] = True
 
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        """Ids of each text, `end` appended; null is empty."""
-        words = [WORDS(t) if t else [] for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        tail = int(end).to_bytes(4, "little")
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + tail, "<u4") for ws in words]
+    @staticmethod
+    def of_worker(path: str, keep: int) -> WordIds:
+        """The words that earlier tasks of this Python worker have met, if they are `keep` at most."""
+        store = sys.modules.setdefault("lodestone_worker_store", ModuleType("lodestone_worker_store"))
+        made = store.__dict__.setdefault("word_ids", {})
+        if path not in made:
+            made[path] = WordIds(path)
+        if len(made[path]) > keep:
+            made[path].clear()
+        return made[path]
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(_CLOSING)
+        low = body.lower()
+        if body and len(low) == len(body) and low.isalpha() and max(low) < "\u0250":
+            if body is not word:
+                value = self[low] + self[word[len(body) :]]
+            elif low != word:
+                value = self[low]
+            else:
+                text = low if low.isascii() else low.translate(self.letters)
+                value = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        else:
+            value = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = value
+        return value
+
+    def encode(self, text: str | None, end: bytes) -> np.ndarray:
+        """Ids of a text, `end` appended; null is empty."""
+        return np.frombuffer(b"".join(map(self.__getitem__, WORDS(text))) + end if text else end, "<u4")
 
 
 def cut_points(ids: np.ndarray, starts: np.ndarray, sentence_end: np.ndarray, gap: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +147,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     return [0, *reversed(cuts)]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20, gap: int = 128, step: int = 32, keep_words: int = 400_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20, gap: int = 128, step: int = 32, keep_words: int = 1_200_000, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids.
 
     Every document has its ids and `end`; each id lies in exactly one piece, and
@@ -135,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok = WordTokenizer(tokenizer, keep_words)
+        tail = int(end).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []  # (doc_id, start, doc_tokens, ids): pieces not yet in a sequence
         count = 0
@@ -148,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
             sizes = np.array([len(h[3]) for h in held])
             firsts = np.concatenate([[0], np.cumsum(sizes)])
             free = firsts[:-1][np.array([h[1] == 0 for h in held])]
-            pos, penalty = cut_points(ids, free, tok.sentence_end, gap, step)
+            pos, penalty = cut_points(ids, free, WordIds.of_worker(tokenizer, keep_words).sentence_end, gap, step)
             cuts = pos[best_cuts(pos, penalty, length)].tolist()
             if not final:
                 # the chunk's end is no end of the stream: its last windows are cut again with what follows
@@ -179,15 +212,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
             yield out
 
         for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                names = [None if pd.isna(x) else int(x) for x in part["id"]]
-                for doc, ids in zip(names, tok.encode([t if isinstance(t, str) else None for t in part["text"]], end), strict=True):
-                    for s in range(0, len(ids), chunk):
-                        held.append((doc, s, len(ids), ids[s : s + chunk]))
-                        count += len(held[-1][3])
-                        if count >= chunk:
-                            yield from settle(False)
+            tok = WordIds.of_worker(tokenizer, keep_words)
+            for name, text in zip(pdf["id"], pdf["text"], strict=True):
+                doc, ids = None if pd.isna(name) else int(name), tok.encode(text if isinstance(text, str) else None, tail)
+                for s in range(0, len(ids), chunk):
+                    held.append((doc, s, len(ids), ids[s : s + chunk]))
+                    count += len(held[-1][3])
+                    if count >= chunk:
+                        yield from settle(False)
         yield from settle(True)
 
     narrow = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
