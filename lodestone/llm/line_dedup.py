@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, union_all, written
+from .shared import components, dealt, sorted_groups, union_all, written
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -142,39 +142,6 @@ def _band(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, edits: int
     return dist
 
 
-def _groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """Rows sorted by key as frames of whole groups, and True with parts of groups that have more than `most` different rows."""
-    held: list[pd.DataFrame] = []
-    big = None  # key of the large group that is passing
-    for pdf in batches:
-        key = pdf["key"].to_numpy()
-        if big is not None:
-            n = int((key == big).sum())
-            if n:
-                yield pdf.iloc[:n], True
-            pdf, key = pdf.iloc[n:], key[n:]
-            if len(pdf):
-                big = None
-        if not len(pdf):
-            continue
-        start = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-        if start or held and held[-1]["key"].iloc[-1] != key[0]:
-            yield pd.concat([*held, pdf.iloc[:start]]) if held else pdf.iloc[:start], False
-            held = []
-        held.append(pdf.iloc[start:])
-        if sum(map(len, held)) > 4 * most:
-            held = [pd.concat(held).drop_duplicates()]
-            if len(held[0]) > most:
-                yield held[0], True
-                held, big = [], key[-1]
-    if held:
-        yield pd.concat(held), False
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-
-
 def _meet(rows: DataFrame, crowd: int) -> DataFrame:
     """Rows (key, h, role) to pairs (a, b) of groups of up to `crowd` rows, and (a, null, key, role) for the rows of larger ones."""
 
@@ -183,7 +150,7 @@ def _meet(rows: DataFrame, crowd: int) -> DataFrame:
             part = part.drop_duplicates()
             return pd.DataFrame({"a": part["h"], "b": pd.array([None] * len(part), "Int64"), "key": part["key"].astype("Int64"), "role": part["role"].astype("Int32")})
 
-        for part, over in _groups(batches, crowd):
+        for part, over in sorted_groups(batches, crowd):
             if over:
                 yield large(part)
                 continue
@@ -208,7 +175,7 @@ def _meet(rows: DataFrame, crowd: int) -> DataFrame:
                 none = pd.array([None] * len(x), "Int64")
                 yield pd.DataFrame({"a": x["a"], "b": x["b"].astype("Int64"), "key": none, "role": none.astype("Int32")})
 
-    return _dealt(rows).mapInPandas(run, "a long, b long, key long, role int")
+    return dealt(rows).mapInPandas(run, "a long, b long, key long, role int")
 
 
 def spanning(ids: np.ndarray, texts: list[str], edits: int) -> list[tuple[int, int]]:
@@ -249,7 +216,7 @@ def _compare(rows: DataFrame, edits: int, room: int) -> DataFrame:
     """Rows (key, h, rest) to links (a, b) within groups of up to `room` rows, and (a, null, key, rest) for larger ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, over in _groups(batches, room):
+        for part, over in sorted_groups(batches, room):
             if over:
                 yield pd.DataFrame({"a": part["h"], "b": pd.array([None] * len(part), "Int64"), "key": part["key"].astype("Int64"), "rest": part["rest"]})
                 continue
@@ -263,7 +230,7 @@ def _compare(rows: DataFrame, edits: int, room: int) -> DataFrame:
                 none = pd.array([None] * len(x), "Int64")
                 yield pd.DataFrame({"a": x.min(axis=1), "b": x.max(axis=1).astype("Int64"), "key": none, "rest": pd.array([None] * len(x), "string")})
 
-    return _dealt(rows).mapInPandas(run, "a long, b long, key long, rest string")
+    return dealt(rows).mapInPandas(run, "a long, b long, key long, rest string")
 
 
 def _blocks(big: DataFrame, room: int) -> DataFrame:

@@ -11,11 +11,14 @@ part at once; `trees` repetitions reach the target recall.
 
 * Nodes of up to `leaf` documents are compared exhaustively, by 128 one-bit
   tokens first: pairs that these show to be far below the threshold go no
-  further (a pair at 0.8 is lost by them with a probability below 1e-9).
-* Larger nodes give a star (each member with the node's least) and branch on.
-* What still is large after `depth` levels is a cluster of copies of each other.
-  Once the links found so far have made components, every member of such a
-  node outside its largest component is compared with all others there.
+  further (a pair at 0.8 is lost by them with a probability of about 1e-7).
+* Larger nodes give a star (each member with the node's least) and branch on,
+  but for those where a quarter of the members may be near the least: they are
+  clusters, which branching would only cut into many nodes of the same copies.
+* Clusters, and what still is large after `depth` levels, are compared in
+  blocks of `block` documents: a task gets two blocks and counts all common
+  shingles by matrix products. It returns no pairs but a forest of the links.
+  Nodes of several trees whose leasts are linked are one cluster.
 
 Candidates are confirmed on full sets: first each document's best candidate,
 then those that still join different components. Documents with equal sets are
@@ -33,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lowered, union_all, written
+from .shared import components, dealt, lowered, sorted_groups, union_all, written
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 POSITIONS, TREE_POSITIONS = 128, 64
@@ -126,9 +129,9 @@ def _children(node: Column, sig: Column, branches: float) -> Column:
 
 
 def _near(similarity: float) -> Column:
-    """Whether sizes and one-bit tokens of a and b leave the similarity possible. The bound lies 6.5 standard deviations off."""
+    """Whether sizes and one-bit tokens of a and b leave the similarity possible. The bound lies 5.5 standard deviations off."""
     differ = POSITIONS * (1 - similarity) / 2
-    most = int(differ + 6.5 * np.sqrt(differ * (1 + similarity) / 2)) + 1
+    most = int(differ + 5.5 * np.sqrt(differ * (1 + similarity) / 2)) + 1
     sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")
     return sizes & (F.bit_count(F.col("a.c1").bitwiseXOR(F.col("b.c1"))) + F.bit_count(F.col("a.c2").bitwiseXOR(F.col("b.c2"))) <= most)
 
@@ -143,27 +146,35 @@ def _pairs(a: DataFrame, b: DataFrame, on: Column, similarity: float) -> DataFra
     return j.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b"), _bits().alias("bits"))
 
 
-def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs from all trees, and the rows (node, digest, n, c1, c2) of nodes still large at the last level."""
+def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth: int, settled: float = 0.25) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs from all trees, and the members (first, digest) of large nodes that are clusters or reach the last level, by the node's least."""
     branches = 1 / similarity
     carried = ["digest", "n", "c1", "c2"]
     roots = F.array(*[F.lit(-1 - t).cast("long") for t in range(trees)])
     front = nodes.select(*carried, "sig", F.explode(roots).alias("root")).select(F.explode(_children(F.col("root"), F.col("sig"), branches)).alias("node"), *carried)
-    found, large = [], None
+    found, late = [], []
     for level in range(1, depth + 1):
-        many = front.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct("digest", "n", "c1", "c2")).alias("first")).where("members > 1")
+        many = front.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(*carried)).alias("first")).where("members > 1")
         many = written(many, f"path-nodes{level}")
         table = written(front.join(many.select("node", "members").hint("merge"), "node"), f"path-rows{level}")
         small = table.where(F.col("members") <= leaf)
         found.append(_pairs(small, small, (F.col("a.node") == F.col("b.node")) & (F.col("a.digest") < F.col("b.digest")), similarity))
         large = table.where(F.col("members") > leaf)
         if large.isEmpty():
-            return union_all(found), None
+            break
         stars = many.where(F.col("members") > leaf).select("node", "first.*")
-        found.append(_pairs(large, stars, F.col("a.node") == F.col("b.node"), similarity))
-        if level < depth:
-            front = large.select("node", *carried).join(nodes.select("digest", "sig").hint("merge"), "digest").select(F.explode(_children(F.col("node"), F.col("sig"), branches)).alias("node"), *carried)
-    return union_all(found), large
+        star = large.alias("a").join(stars.alias("b").hint("merge"), F.col("a.node") == F.col("b.node"))
+        star = written(star.select(*[F.col(f"a.{c}") for c in ("node", *carried)], F.col("b.digest").alias("first"), _near(similarity).alias("near"), _bits().alias("bits")), f"path-stars{level}")
+        found.append(star.where("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"), "bits"))
+        if level == depth:
+            late.append(star.select("first", "digest"))
+            break
+        shares = written(star.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share")), f"path-shares{level}")
+        split = star.join(shares.hint("merge"), "node")
+        late.append(split.where(F.col("share") >= settled).select("first", "digest"))
+        front = split.where(F.col("share") < settled).select("node", *carried).join(nodes.select("digest", "sig").hint("merge"), "digest")
+        front = front.select(F.explode(_children(F.col("node"), F.col("sig"), branches)).alias("node"), *carried)
+    return union_all(found), written(union_all(late).distinct(), "clusters") if late else None
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -193,7 +204,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_key (xxhash64 of the text), n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; the set
@@ -208,11 +219,11 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int
     base = written(signatures(docs, width, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     full = base.where("digest is not null")
     nodes = written(full.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("n", "c1", "c2")], F.min(F.struct("doc_id", "text_key")).alias("who"), F.first("sig").alias("sig")), "set-nodes")
-    pairs, large = candidates(nodes, similarity, trees, leaf, depth)
+    pairs, clusters = candidates(nodes, similarity, trees, leaf, depth)
     pairs = written(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates")
     active = pairs.select(F.explode(F.array("a", "b")).alias("digest"))
-    if large is not None:
-        active = active.unionByName(large.select("digest"))
+    if clusters is not None:
+        active = active.unionByName(clusters.select("digest"))
     wanted = written(nodes.select("digest", "who.doc_id", "who.text_key").join(active.distinct().hint("merge"), "digest"), "active")
     if wanted.isEmpty():
         comp = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("component"))
@@ -221,14 +232,12 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int
         best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
         links = written(_confirm(best, sets, percent), "links")
         comp = written(components(links), "components")
+        if clusters is not None:
+            links = links.unionByName(written(_clustered(clusters, comp, sets, percent, block), "links"))
+            comp = written(components(links), "components")
         more = written(_confirm(_apart(pairs.select("a", "b"), comp), sets, percent), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = written(components(links), "components")
-        if large is not None:
-            late = written(_confirm(_outliers(large, comp, similarity).distinct(), sets, percent), "links")
-            if not late.isEmpty():
-                comp = written(components(links.unionByName(late)), "components")
+            comp = written(components(links.unionByName(more)), "components")
     named = full.join(comp.select(F.col("node").alias("digest"), "component").hint("merge"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     named = written(named.select("uid", "doc_id", "text_key", "n", "component"), "named")
     least = written(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))).alias("top")), "least")
@@ -244,13 +253,64 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return j.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _outliers(large: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """Candidates within nodes that stayed large: members outside the node's largest component with all members of other components."""
-    own = large.join(comp.select(F.col("node").alias("digest"), "component").hint("merge"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    own = written(own.select("node", "digest", "n", "c1", "c2", "component"), "large-named")
-    main = own.groupBy("node", "component").count().groupBy("node").agg(F.max(F.struct("count", "component")).alias("x")).select("node", F.col("x.component").alias("main"))
-    out = own.join(written(main, "large-main"), "node").where("component <> main").drop("main")
-    return _pairs(out, own, (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")), similarity).select("a", "b")
+def _clustered(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within clusters, as many as join what links join there."""
+    of = comp.select(F.col("node").alias("first"), "component").hint("merge")
+    own = clusters.join(of, "first", "left").select(F.coalesce("component", "first").alias("cluster"), "digest").distinct()
+    own = written(own, "cluster-rows")
+    per = written(own.groupBy("cluster").agg((F.floor((F.count("*") - 1) / block) + 1).cast("int").alias("blocks")), "cluster-blocks")
+    rows = own.join(per.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest")
+    rows = rows.join(sets.hint("merge"), "digest")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, over in sorted_groups(batches, 1 << 60):
+            assert not over
+            for _, group in part.groupby("key", sort=False):
+                found = block_links(group["digest"].tolist(), group["items"].tolist(), group["side"].to_numpy(), percent)
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt(rows).mapInPandas(run, "a binary, b binary")
+
+
+def block_links(names: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """A forest of the links between the sets of side 0 and side 1, or among all where there is no side 1."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    size = np.array([len(s) for s in sets])
+    items, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    # shingles of one set only are in no intersection
+    many = np.bincount(place)[place] > 1
+    place, row = np.unique(place[many], return_inverse=True)[1], row[many]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    width, step = (int(place[-1]) + 1 if len(place) else 0), 4096
+    for k in range(0, width, step):
+        lo, hi = np.searchsorted(place, [k, k + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[row[lo:hi], place[lo:hi] - k] = 1
+        common += has[left] @ has[right].T
+    union = size[left][:, None] + size[right][None, :] - common
+    i, j = np.nonzero(100 * common >= percent * union)
+    up = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            up[b] = a
+            out.append((names[x], names[y]))
+    return out
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,37 @@ def components(edges: DataFrame, name: str = "components", limit: int = 60) -> D
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def sorted_groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Rows sorted by key as frames of whole groups, and True with parts of groups that have more than `most` different rows."""
+    held: list[pd.DataFrame] = []
+    big = None  # key of the large group that is passing
+    for pdf in batches:
+        key = pdf["key"].to_numpy()
+        if big is not None:
+            n = int((key == big).sum())
+            if n:
+                yield pdf.iloc[:n], True
+            pdf, key = pdf.iloc[n:], key[n:]
+            if len(pdf):
+                big = None
+        if not len(pdf):
+            continue
+        start = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+        if start or held and held[-1]["key"].iloc[-1] != key[0]:
+            yield pd.concat([*held, pdf.iloc[:start]]) if held else pdf.iloc[:start], False
+            held = []
+        held.append(pdf.iloc[start:])
+        if sum(map(len, held)) > 4 * most:
+            held = [pd.concat(held).drop_duplicates()]
+            if len(held[0]) > most:
+                yield held[0], True
+                held, big = [], key[-1]
+    if held:
+        yield pd.concat(held), False
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt and sorted by `key`, for sorted_groups."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
