@@ -70,7 +70,7 @@ def schedule(spark, target: np.ndarray, slots: int) -> DataFrame:
     return ranked.join(before, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("k")).alias("rank"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, bucket_rows: int = 20_000, max_sources: int = 100_000, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, bucket_rows: int = 2_000, max_sources: int = 100_000, keep: bool = False) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, first_pass, second_pass (words of each pass, from the front of the text).
 
     taken = first_pass + second_pass and is at most `most` (2 at most) times the
