@@ -41,7 +41,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = rows.withColumns({"sha": F.unhex(F.sha2("body", 256)), "digit": F.substring("body", 1, first)})
     level, width, done, tables = 0, first, [], ["id", "uid", "sha", *(["row"] if carry else [])]
-    rows = rows.join(groups, ["n", "digit"], "left")
+    rows = rows.join(groups.hint("merge"), ["n", "digit"], "left")
     while True:
         live = F.col("label").isNotNull() & (F.col("n") > width)
         rest = F.when(live, F.expr(f"substring(body, {width + 1})"))
@@ -52,7 +52,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         level, width = level + 1, width * growth
         left = left.select(*tables, F.col("label").alias("parent"), "n", "body", F.substring("body", 1, width).alias("digit"))
-        rows = left.join(_groups(left.select("parent", "digit"), "parent"), ["parent", "digit"], "left")
+        rows = left.join(_groups(left.select("parent", "digit"), "parent").hint("merge"), ["parent", "digit"], "left")
     ended = union_all(done)
     alone = ended.where("label is null").select(*tables, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     copies = ended.where("label is not null")
