@@ -1,6 +1,5 @@
 """All registered queries of the library and their DuckDB twins."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]

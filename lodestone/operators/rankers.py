@@ -197,7 +197,7 @@ def ridge_weights(pairs: DataFrame, lam: float, normalise: str = "row", max_item
         return pd.DataFrame({"a": ids[i], "b": ids[j], "weight": w[i, j]})
 
     kind = pairs.schema["item_id"].dataType.simpleString()
-    return gram(pairs).groupBy(F.lit(0)).applyInPandas(run, f"a {kind}, b {kind}, weight double")
+    return gram(pairs).groupBy().applyInPandas(run, f"a {kind}, b {kind}, weight double")
 
 
 def weighted_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def bpr(rows: DataFrame, seed: int = SEED, max_pairs: int = 5_000_000, factors:
             np.add.at(q, c, lr * gj)
         return pd.DataFrame({"kind": ["user"] * len(users) + ["item"] * len(items), "id": [*users, *items], "factors": [*p, *q]})
 
-    return rows.select("user_id", "item_id").groupBy(F.lit(0)).applyInPandas(run, "kind string, id long, factors array<double>")
+    return rows.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
 
 
 def factor_scores(model: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def item_factors(pairs: DataFrame, dim: int = 32, max_items: int = 20_000) -> Da
         return pd.DataFrame({"item_id": ids, "factors": list(vec * np.sqrt(np.maximum(value, 0)))})
 
     kind = pairs.schema["item_id"].dataType.simpleString()
-    return gram(pairs).groupBy(F.lit(0)).applyInPandas(run, f"item_id {kind}, factors array<double>")
+    return gram(pairs).groupBy().applyInPandas(run, f"item_id {kind}, factors array<double>")
 
 
 def wmf(rows: DataFrame, rank: int = 32, reg: float = 0.01, alpha: float = 1.0, iterations: int = 10, seed: int = SEED):

@@ -10,8 +10,8 @@ from ..settings import SEED
 
 def histories(df: DataFrame, order: list[str]) -> DataFrame:
     """user_id, items: each user's items in order."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "item_id")))
-    return df.groupBy("user_id").agg(F.transform(rows, lambda r: r["item_id"]).alias("items"))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col("item_id").alias("_item"))))
+    return df.groupBy("user_id").agg(F.transform(rows, lambda r: r["_item"]).alias("items"))
 
 
 def padded(items, length: int, pad=0):
