@@ -37,7 +37,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = _groups(docs.select(bytes_.alias("n"), F.substring(head, 1, first).alias("digit")), "n")
     rows = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), bytes_.alias("n"), body.alias("body"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     rows = rows.withColumns({"sha": F.unhex(F.sha2("body", 256)), "digit": F.substring("body", 1, first)})
     level, width, done, tables = 0, first, [], ["id", "uid", "sha", *(["row"] if carry else [])]

@@ -357,8 +357,8 @@ def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int =
 
 def drop_lines(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the lines that the report counts as dropped; documents keep their rows. Ids must be unique and not null."""
-    gone = occurrences(docs, edits, least, crowd, room, id_col, text_col).where("not first").groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("gone_lines"))
+    gone = occurrences(docs, edits, least, crowd, room, id_col, text_col).where("not first").groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("__gone_lines"))
     joined = docs.join(written(gone, "line-gone"), id_col, "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("gone_lines", i))
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone_lines", i))
+    text = F.when(F.col("__gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)

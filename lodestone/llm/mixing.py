@@ -86,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if most > 2:
         raise ValueError("a source is passed over twice at most")
     spark = docs.sparkSession
-    row = [F.struct(*docs.columns).alias("row")] if keep else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), *row)
     if not keep:
         base = written(base, "mix-sizes")

@@ -96,7 +96,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sites' log odds.
     """
     cols = features(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), *[c.cast("double").alias(k) for k, c in cols.items()], *([F.struct(*docs.columns).alias("row")] if carry else []))
+    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), *[c.cast("double").alias(k) for k, c in cols.items()], *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     base = written(base, "quality-features")
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     train = known.join(base.select("id", *FEATURES), "id").orderBy(F.xxhash64("id"), "id", "y", *FEATURES).limit(sample).toPandas()
