@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..settings import BOOT_ALPHA, N_BOOT, SEED
 
@@ -77,7 +78,7 @@ def poisson_bootstrap(df: DataFrame, group: str, value: str, key: str, n_boot: i
     return df.groupBy(group).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(ends, group)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Generic words of accommodation names, names that stand for a missing one, and type markers, longest first.
 STOPWORDS = (
@@ -44,7 +45,7 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _FROM, _TO), r"\p{M}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_exact(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, for text beyond Latin letters."""
     return text.map(lambda x: _stripped(x) if isinstance(x, str) else "")
@@ -150,7 +151,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.round(F.size(F.array_intersect(a, b)) / union, 4))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings, to 4 decimals; not symmetric, so keep the order of a and b."""
     return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in zip(a, b, strict=True)])
