@@ -22,14 +22,8 @@ from .shared import written
 
 _SPACE = " \t\n\x0b\x0c\r"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Measures by rule; a document is rejected where its measure is above the cutoff.
-RULES = {
-    "symbols": F.lit(1.0) * F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "bangs": F.lit(1.0) * F.col("n_bangs") / F.greatest(F.col("n_words"), F.lit(1)),
-    "lines": F.lit(1.0) * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeats": F.lit(1.0) * F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "length": F.lit(1.0) * F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-}
+#: Measures by rule, as a count over another; a document is rejected where its measure is above the cutoff.
+RULES = {"symbols": ("n_symbols", "n_words"), "bangs": ("n_bangs", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "length": ("word_chars", "n_words")}
 #: Grid of cutoffs by rule.
 GRID = {
     "symbols": [k / 20 for k in range(1, 31)], "bangs": [k / 20 for k in range(1, 31)], "lines": [k / 20 for k in range(1, 20)],
@@ -42,6 +36,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _measure(rule: str) -> Column:
+    part, whole = RULES[rule]
+    return F.lit(1.0) * F.col(part) / F.greatest(F.col(whole), F.lit(1))
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
@@ -116,7 +115,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk_total: float = 0.01,
     """
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
     held = measured.where(~F.col("base_failed")).join(good, "id", "left_semi")
-    measure = held.select("stratum", *[c.alias(k) for k, c in RULES.items()])
+    measure = held.select("stratum", *[_measure(r).alias(r) for r in RULES])
     counts = [F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.count_if(F.col(rule) > cut).alias("rejected")) for rule, cuts in GRID.items() for cut in cuts]
     table = measure.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*counts).alias("tests"))
     table = written(table, "rule-counts")
@@ -142,7 +141,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     wide = cuts.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     wide = written(wide, "rule-cutoffs").withColumnRenamed("stratum", "s")
     joined = measured.join(wide, measured["stratum"].eqNullSafe(wide["s"]), "left")
-    above = {r: F.coalesce(c > F.col(f"cut_{r}"), F.lit(False)) for r, c in RULES.items()}
+    above = {r: F.coalesce(_measure(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES}
     bad = reduce(lambda a, b: a | b, above.values())
     return joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"),
