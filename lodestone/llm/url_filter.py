@@ -88,7 +88,7 @@ class NaiveBayes:
     prior: float
 
     @classmethod
-    def train(cls, examples: list[tuple[list[str], bool]], unwanted_share: float = 0.1) -> NaiveBayes:
+    def train(cls, examples: list[tuple[list[str], bool]], unwanted_share: float = 0.25) -> NaiveBayes:
         """examples: words of a url and whether it is unwanted. unwanted_share: of urls in the wild."""
         bad, good = Counter(), Counter()
         for words, unwanted in examples:
