@@ -123,7 +123,7 @@ def annotate(items: DataFrame, cache: DataFrame | None, factory: Callable[[], Ca
                         row |= {"label": got["label"], "confidence": got.get("confidence"), "reason": str(got.get("reason", ""))[:500], "model": r.model, "error": None}
                         break
                 out.append(row)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"label": "Int32"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
 
     return todo.select("id", "prompt").repartition(parallel).mapInPandas(run, RESULT)
 

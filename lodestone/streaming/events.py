@@ -16,20 +16,27 @@ def stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """With a watermark where it is a stream; times without a zone are taken in the session's."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def first_only(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """The first event of each key within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed(events: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """start, the `by` columns, n and total of tumbling or sliding windows; works on batches too."""
     win = F.window(ts, width, slide) if slide else F.window(ts, width)
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = _timed(events, ts, late)
     return d.groupBy(win.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = _timed(events, ts, late)
     return d.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
