@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..settings import CUTOFFS
 
 
-def target_ranks(scores: DataFrame, seen: DataFrame, targets: DataFrame, items: DataFrame, by: list[str] | None = None) -> DataFrame:
+def target_ranks(scores: DataFrame, seen: DataFrame, targets: DataFrame, items: DataFrame, by: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
     """user_id, item_id, rank, masked of each target, by counting: 1 + the unseen items that stand before it.
 
     Better scores stand first, equal ones in order of the item. Items without a
     score row score 0 and are counted by arithmetic, not made. A target that the
     user has seen is masked: it ranks behind all unseen items, among the masked
     ones in order of the item, and is no hit. by: further columns of scores (a
-    setting), each ranked apart.
+    setting), each ranked apart; settings: their values, where known. The scores
+    are worked out once and dealt once, by user.
     """
     by = by or []
     place = items.select("item_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1)
@@ -25,14 +26,14 @@ def target_ranks(scores: DataFrame, seen: DataFrame, targets: DataFrame, items:
     t = t.select("user_id", F.col("item_id").alias("target"), F.coalesce("is_seen", F.lit(False)).alias("masked"), "place")
     s = t.join(seen.select("user_id", "item_id"), "user_id", "left").groupBy("user_id", "target", "masked", "place").agg(F.count("item_id").alias("n_seen"), F.count_if(F.col("item_id") < F.col("target")).alias("seen_before"))
     if by:
-        s = s.crossJoin(F.broadcast(scores.select(*by).distinct()))  # settings: a grid given by the caller
-    own = scores.select("user_id", F.col("item_id").alias("target"), *by, F.col("score").alias("ts"))
-    s = s.join(own, ["user_id", "target", *by], "left").withColumn("ts", F.coalesce("ts", F.lit(0.0)))
-    free = scores.join(mark, ["user_id", "item_id"], "left_anti").where(F.col("score").isNotNull()).select("user_id", "item_id", "score", *by)
-    j = s.join(free, ["user_id", *by], "left")
-    better = (F.col("score") > F.col("ts")) | ((F.col("score") == F.col("ts")) & (F.col("item_id") < F.col("target")))
-    g = j.groupBy("user_id", "target", "masked", "place", "n_seen", "seen_before", "ts", *by).agg(F.count_if(better).alias("above"), F.count("item_id").alias("scored"), F.count_if(F.col("item_id") < F.col("target")).alias("scored_before"))
-    g = g.crossJoin(n_items)
+        s = s.crossJoin(settings if settings is not None else scores.select(*by).distinct())  # a grid given by the caller
+    x = scores.where(F.col("score").isNotNull()).select("user_id", "item_id", "score", *by).join(mark, ["user_id", "item_id"], "left").join(t.select("user_id", "target"), "user_id")
+    own = F.max(F.when(F.col("item_id") == F.col("target"), F.col("score"))).over(Window.partitionBy("user_id", *by))
+    x = x.withColumns({"ts": F.coalesce(own, F.lit(0.0)), "free": F.col("is_seen").isNull()})
+    before = F.col("item_id") < F.col("target")
+    better = (F.col("score") > F.col("ts")) | ((F.col("score") == F.col("ts")) & before)
+    g = x.groupBy("user_id", *by).agg(F.max("ts").alias("ts"), F.count_if(F.col("free") & better).alias("above"), F.count_if("free").alias("scored"), F.count_if(F.col("free") & before).alias("scored_before"))
+    g = s.join(g, ["user_id", *by], "left").fillna(0, ["ts", "above", "scored", "scored_before"]).crossJoin(n_items)  # n_items has one row
     rest = F.when(F.col("ts") > 0, F.lit(0)).when(F.col("ts") == 0, F.col("place") - F.col("seen_before") - F.col("scored_before")).otherwise(F.col("n_items") - F.col("n_seen") - F.col("scored"))
     rank = F.when(F.col("masked"), F.col("n_items") - F.col("n_seen") + 1 + F.col("seen_before")).otherwise(1 + F.col("above") + rest)
     return g.select(*by, "user_id", F.col("target").alias("item_id"), rank.cast("long").alias("rank"), "masked")

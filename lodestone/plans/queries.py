@@ -398,7 +398,7 @@ def hybrid_fixed_grid(spark, d):
     """All weights of the fixed fusion, ranked and evaluated on the val fold in one plan."""
     grid = F.explode(F.array(*[F.lit(k / 10) for k in range(11)]))
     s = _both(spark, d).withColumn("lam", grid).select("lam", "user_id", "item_id", F.round(rankers.fused(F.col("cf"), F.col("cb"), F.col("lam")), 12).alias("score"))
-    return evaluate.metrics(evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["lam"]), ["lam"])
+    return evaluate.metrics(evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["lam"], spark.range(1).select(grid.alias("lam"))), ["lam"])
 
 
 @query(f"""WITH {_TRAIN}, {_BOTH}, hn AS (SELECT user_id, count(*) AS n FROM f WHERE fold = 'train' GROUP BY user_id), grid AS (SELECT * FROM (SELECT unnest([40.0, 60.0, 80.0])::DOUBLE AS n0) CROSS JOIN (SELECT unnest([0.5, 0.85])::DOUBLE AS lo)),
@@ -410,7 +410,7 @@ def hybrid_adaptive_grid(spark, d):
     s = _both(spark, d).join(n, "user_id").withColumn("g", grid)
     w = rankers.adaptive_weight(F.col("n"), F.col("g.n0"), 8.0, F.col("g.lo"))
     s = s.select((F.col("g.n0") * 10 + F.col("g.lo")).alias("setting"), "user_id", "item_id", F.round(rankers.fused(F.col("cf"), F.col("cb"), w), 9).alias("score"))
-    return evaluate.metrics(evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["setting"]), ["setting"])
+    return evaluate.metrics(evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["setting"], spark.range(1).select(grid.alias("g")).select((F.col("g.n0") * 10 + F.col("g.lo")).alias("setting"))), ["setting"])
 
 
 @query()
