@@ -291,6 +291,60 @@ def propagate(edges: DataFrame, state: DataFrame, layers: int = 3) -> DataFrame:
     return total.groupBy("node", "dim").agg((F.sum("value") / (layers + 1)).alias("value"))
 
 
+def lightgcn(pairs: DataFrame, dim: int = 32, layers: int = 3, lr: float = 0.05, reg: float = 1e-4, epochs: int = 50, batch: int = 2048, seed: int = SEED, max_pairs: int = 5_000_000) -> DataFrame:
+    """Graph-propagated factors (kind, id, factors) trained in one task by pairwise ranking, Adam, all layers' mean.
+
+    Propagation is linear and symmetric, so the gradient of the start is the
+    propagated gradient of the end. More than max_pairs pairs raise ValueError.
+    """
+    if (n := pairs.count()) > max_pairs:
+        raise ValueError(f"{n} pairs are more than {max_pairs}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["user_id", "item_id"])
+        users, u = np.unique(pdf["user_id"], return_inverse=True)
+        items, i = np.unique(pdf["item_id"], return_inverse=True)
+        src, dst = np.r_[u, i + len(users)], np.r_[i + len(users), u]
+        deg = np.bincount(src, minlength=len(users) + len(items)).astype(float)
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        weight = (1 / np.sqrt(deg[src] * deg[dst]))[:, None]
+        first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            total, now = x.copy(), x
+            for _ in range(layers):
+                new = np.zeros_like(x)
+                new[dst[first]] = np.add.reduceat(weight * now[src], first, axis=0)
+                total, now = total + new, new
+            return total / (layers + 1)
+
+        rng = np.random.default_rng(seed)
+        e = rng.normal(0, 0.1, (len(deg), dim))
+        m, v = np.zeros_like(e), np.zeros_like(e)
+        for step in range(1, epochs * -(-len(u) // batch) + 1):
+            f, g = spread(e), np.zeros_like(e)
+            k = rng.integers(0, len(u), batch)
+            a, b, c = u[k], i[k] + len(users), rng.integers(0, len(items), batch) + len(users)
+            s = (1 / (1 + np.exp(np.einsum("ij,ij->i", f[a], f[b] - f[c]))))[:, None] / batch
+            np.add.at(g, a, -s * (f[b] - f[c]))
+            np.add.at(g, b, -s * f[a])
+            np.add.at(g, c, s * f[a])
+            g = spread(g) + reg * e / len(e)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            e = e - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        f = spread(e)
+        return pd.DataFrame({"kind": ["user"] * len(users) + ["item"] * len(items), "id": [*users, *items], "factors": list(f)})
+
+    return pairs.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
+
+
+def item_texts(items: DataFrame, content: DataFrame, key: str, parts: list[str]) -> DataFrame:
+    """item_id and the text of its content row: the parts that there are, joined; `item <id>` where there is none. Of repeated keys the last by text holds."""
+    text = content.select(F.col(key), F.nullif(F.trim(F.concat_ws(" ", *parts)), F.lit("")).alias("text")).groupBy(key).agg(F.max("text").alias("text"))
+    return items.join(text, key, "left").select("item_id", F.coalesce("text", F.concat(F.lit("item "), F.col("item_id").cast("string"))).alias("text"))
+
+
 def cosine_top(vectors: DataFrame, key: str, vector: str, k: int, queries: Column | None = None) -> DataFrame:
     """Exact nearest vectors by cosine of the query rows (all by default) against all rows, in blocks of matrix products.
 

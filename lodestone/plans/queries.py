@@ -431,6 +431,13 @@ def bpr_top10(spark, d):
     return _top10(rankers.factor_scores(rankers.bpr(rows.select(F.col("user_id").cast("long"), F.col("item_id").cast("long")), epochs=5)), _train(spark, d))
 
 
+@query()
+def lightgcn_top10(spark, d):
+    pairs = _train(spark, d)
+    model = rankers.lightgcn(pairs.select(F.col("user_id").cast("long"), F.col("item_id").cast("long")), epochs=5)
+    return _top10(rankers.factor_scores(model), pairs)
+
+
 @query(f"""WITH {_TRAIN}, e AS (SELECT concat('u', user_id) AS src, concat('i', item_id) AS dst FROM tr UNION ALL SELECT concat('i', item_id), concat('u', user_id) FROM tr), deg AS (SELECT src, count(*) AS d FROM e GROUP BY src),
     ed AS (SELECT e.src, e.dst, 1 / sqrt(a.d * CAST(b.d AS DOUBLE)) AS w FROM e JOIN deg a ON a.src = e.src JOIN deg b ON b.src = e.dst), s0 AS (SELECT src AS node, CAST(length(src) AS DOUBLE) AS v FROM deg),
     s1 AS (SELECT dst AS node, sum(w * v) AS v FROM ed JOIN s0 ON s0.node = ed.src GROUP BY dst), s2 AS (SELECT dst AS node, sum(w * v) AS v FROM ed JOIN s1 ON s1.node = ed.src GROUP BY dst)

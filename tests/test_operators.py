@@ -261,10 +261,21 @@ def test_trained_factors_rank_better_than_chance(spark):
     s = rankers.factor_scores(rankers.bpr(df, epochs=60, batch=256)).toPandas()
     same = (s.user_id % 2) == (s.item_id % 2)
     assert s[same].score.mean() > s[~same].score.mean() + 0.5
+    g = rankers.factor_scores(rankers.lightgcn(df, dim=8, epochs=30, batch=256)).toPandas()
+    same = (g.user_id % 2) == (g.item_id % 2)
+    assert g[same].score.mean() > g[~same].score.mean() + 0.5
+    with pytest.raises(ValueError):
+        rankers.lightgcn(df, max_pairs=1)
     f = rankers.item_factors(df, 4).toPandas()
     assert len(f) == 20 and len(f.factors[0]) == 4
 
 
+def test_item_texts(spark):
+    items = frame(spark, [(1, "a"), (2, "b"), (3, "c")], "item_id int, k string")
+    content = frame(spark, [("a", "x", None), ("b", None, " ")], "k string, p string, q string")
+    assert {r.item_id: r.text for r in rankers.item_texts(items, content, "k", ["p", "q"]).collect()} == {1: "x", 2: "item 2", 3: "item 3"}
+
+
 def test_histogram_edges(spark):
     df = frame(spark, [(1.0,), (1.49,), (1.5,), (10.0,), (0.5,), (None,)], "v double")
     assert {r.bin: r.n for r in split.histogram(df, "v", 1.0, 10.0, 0.5).collect()} == {0: 2, 1: 1, 17: 1}
