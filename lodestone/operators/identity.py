@@ -76,9 +76,9 @@ def sensitivity(df: DataFrame, name: str = "CustomerName", hotel: str = "hotel_k
     x = d.select(name, hotel, F.explode(kept).alias("policy"))
     users = x.groupBy("policy", name).agg(F.count("*").alias("c")).groupBy("policy").agg(
         F.sum("c").alias("n_interactions"), F.count("*").alias("n_users"), F.round(F.avg("c"), 2).alias("mean_per_user"), F.max("c").alias("max_per_user"),
-        F.round(100.0 * F.avg((F.col("c") == 1).cast("double")), 2).alias("single_pct"), F.count_if(F.col("c") >= k).alias("eligible_users"),
+        F.round(100.0 * F.avg((F.col("c") == 1).cast("double")), 4).alias("single_pct"), F.count_if(F.col("c") >= k).alias("eligible_users"),
     )
     hotels = x.groupBy("policy").agg(F.count_distinct(hotel).alias("n_hotels"))
     all_ = df.agg(F.count("*").alias("_n"))
     out = users.join(hotels, "policy").crossJoin(all_)
-    return out.withColumns({"retained_pct": F.round(100.0 * F.col("n_interactions") / F.col("_n"), 2), "sparsity_pct": F.round(100.0 * (1 - F.col("n_interactions") / (F.col("n_users") * F.col("n_hotels"))), 2)}).drop("_n")
+    return out.withColumns({"retained_pct": F.round(100.0 * F.col("n_interactions") / F.col("_n"), 4), "sparsity_pct": F.round(100.0 * (1 - F.col("n_interactions") / (F.col("n_users") * F.col("n_hotels"))), 4)}).drop("_n")

@@ -553,8 +553,8 @@ _POLICY = f"""{_COLL}, pol AS (SELECT n.CustomerName, hotel_key, {V.placeholder_
     u AS (SELECT policy, CustomerName, count(*) AS c FROM x GROUP BY 1, 2), h AS (SELECT policy, count(DISTINCT hotel_key) AS n_hotels FROM x GROUP BY 1), a AS (SELECT count(*) AS n FROM named)"""
 
 
-@query(f"""WITH {_POLICY} SELECT policy, CAST(sum(c) AS BIGINT) AS n_interactions, count(*) AS n_users, round(avg(c), 2) AS mean_per_user, max(c) AS max_per_user, round(100.0 * avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END), 2) AS single_pct, count(*) FILTER (WHERE c >= 4) AS eligible_users, max(n_hotels) AS n_hotels,
-    round(100.0 * sum(c) / max(n), 2) AS retained_pct, round(100.0 * (1 - sum(c) / (count(*) * CAST(max(n_hotels) AS DOUBLE))), 2) AS sparsity_pct FROM u JOIN h USING (policy) CROSS JOIN a GROUP BY policy""")
+@query(f"""WITH {_POLICY} SELECT policy, CAST(sum(c) AS BIGINT) AS n_interactions, count(*) AS n_users, round(avg(c), 2) AS mean_per_user, max(c) AS max_per_user, round(100.0 * avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END), 4) AS single_pct, count(*) FILTER (WHERE c >= 4) AS eligible_users, max(n_hotels) AS n_hotels,
+    round(100.0 * sum(c) / max(n), 4) AS retained_pct, round(100.0 * (1 - sum(c) / (count(*) * CAST(max(n_hotels) AS DOUBLE))), 4) AS sparsity_pct FROM u JOIN h USING (policy) CROSS JOIN a GROUP BY policy""")
 def filter_policies(spark, d):
     return identity.sensitivity(_named(spark, d))
 
