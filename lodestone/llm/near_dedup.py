@@ -15,7 +15,8 @@ part at once; `trees` repetitions reach the target recall.
 * Larger nodes give a star (each member with the node's least) and branch on,
   but for those where a quarter of the members may be near the least: they are
   clusters, which branching would only cut into many nodes of the same copies.
-* Clusters, and what still is large after `depth` levels, are compared in
+* Clusters, nodes of up to `medium` documents from the second level on, and what
+  still is large after `depth` levels are compared exhaustively in
   blocks of `block` documents: a task gets two blocks and counts all common
   shingles by matrix products. It returns no pairs but a forest of the links.
   Nodes of several trees whose leasts are linked are one cluster.
@@ -146,8 +147,8 @@ def _pairs(a: DataFrame, b: DataFrame, on: Column, similarity: float) -> DataFra
     return j.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b"), _bits().alias("bits"))
 
 
-def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth: int, settled: float = 0.25) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs from all trees, and the members (first, digest) of large nodes that are clusters or reach the last level, by the node's least."""
+def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth: int, settled: float = 0.25, medium: int = 1024) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs from all trees, and the members (first, digest) of nodes to be compared in blocks, by the node's least."""
     branches = 1 / similarity
     carried = ["digest", "n", "c1", "c2"]
     roots = F.array(*[F.lit(-1 - t).cast("long") for t in range(trees)])
@@ -155,24 +156,23 @@ def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth
     found, late = [], []
     for level in range(1, depth + 1):
         many = front.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(*carried)).alias("first")).where("members > 1")
-        many = written(many, f"path-nodes{level}")
-        table = written(front.join(many.select("node", "members").hint("merge"), "node"), f"path-rows{level}")
-        small = table.where(F.col("members") <= leaf)
+        many = written(many, f"path-nodes{level}").select("node", "members", "first.*")
+        met = front.alias("a").join(many.alias("b").hint("merge"), F.col("a.node") == F.col("b.node"))
+        own = [F.col(f"a.{c}") for c in ("node", *carried)]
+        table = written(met.select(*own, "b.members", F.col("b.digest").alias("first"), _near(similarity).alias("near"), _bits().alias("bits")), f"path-rows{level}")
+        small = table.where(F.col("members") <= leaf).select("node", *carried)
         found.append(_pairs(small, small, (F.col("a.node") == F.col("b.node")) & (F.col("a.digest") < F.col("b.digest")), similarity))
         large = table.where(F.col("members") > leaf)
         if large.isEmpty():
             break
-        stars = many.where(F.col("members") > leaf).select("node", "first.*")
-        star = large.alias("a").join(stars.alias("b").hint("merge"), F.col("a.node") == F.col("b.node"))
-        star = written(star.select(*[F.col(f"a.{c}") for c in ("node", *carried)], F.col("b.digest").alias("first"), _near(similarity).alias("near"), _bits().alias("bits")), f"path-stars{level}")
-        found.append(star.where("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"), "bits"))
+        found.append(large.where("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"), "bits"))
         if level == depth:
-            late.append(star.select("first", "digest"))
+            late.append(large.select("first", "digest"))
             break
-        shares = written(star.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share")), f"path-shares{level}")
-        split = star.join(shares.hint("merge"), "node")
-        late.append(split.where(F.col("share") >= settled).select("first", "digest"))
-        front = split.where(F.col("share") < settled).select("node", *carried).join(nodes.select("digest", "sig").hint("merge"), "digest")
+        shares = written(large.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share")), f"path-shares{level}")
+        split = large.join(shares.hint("merge"), "node").withColumn("done", (F.col("share") >= settled) | ((F.col("members") <= medium) & F.lit(level >= 2)))
+        late.append(split.where("done").select("first", "digest"))
+        front = split.where("not done").select("node", *carried).join(nodes.select("digest", "sig").hint("merge"), "digest")
         front = front.select(F.explode(_children(F.col("node"), F.col("sig"), branches)).alias("node"), *carried)
     return union_all(found), written(union_all(late).distinct(), "clusters") if late else None
 
@@ -204,7 +204,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_key (xxhash64 of the text), n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; the set
@@ -288,14 +288,17 @@ def block_links(names: list[bytes], sets: list[np.ndarray], side: np.ndarray, pe
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
     common = np.zeros((len(left), len(right)), np.float32)
-    width, step = (int(place[-1]) + 1 if len(place) else 0), 4096
+    width, step = (int(place[-1]) + 1 if len(place) else 0), 1024
+    at = np.full((2, len(sets)), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
     for k in range(0, width, step):
         lo, hi = np.searchsorted(place, [k, k + step])
-        has = np.zeros((len(sets), step), np.float32)
-        has[row[lo:hi], place[lo:hi] - k] = 1
-        common += has[left] @ has[right].T
-    union = size[left][:, None] + size[right][None, :] - common
-    i, j = np.nonzero(100 * common >= percent * union)
+        one, two = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        for matrix, index in ((one, at[0]), (two, at[1])):
+            own = index[row[lo:hi]]
+            matrix[own[own >= 0], (place[lo:hi] - k)[own >= 0]] = 1
+        common += one @ two.T
+    linked = (np.nonzero(100 * common[i] >= percent * (size[left[i]] + size[right] - common[i]))[0] for i in range(len(left)))
     up = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -305,11 +308,12 @@ def block_links(names: list[bytes], sets: list[np.ndarray], side: np.ndarray, pe
         return x
 
     out = []
-    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
-        a, b = find(x), find(y)
-        if a != b:
-            up[b] = a
-            out.append((names[x], names[y]))
+    for x, near in zip(left.tolist(), linked, strict=True):
+        for y in right[near].tolist():
+            a, b = find(x), find(y)
+            if a != b:
+                up[b] = a
+                out.append((names[x], names[y]))
     return out
 
 
