@@ -1,12 +1,14 @@
 import shutil
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .common import documents
 
 
 def test_stages_chain(spark, tmp_path):
-    docs = documents(spark).unionByName(documents(spark, 9).withColumn("doc_id", documents(spark, 9)["doc_id"] + 10_000))
+    docs = documents(spark).unionByName(documents(spark, 9).withColumn("doc_id", F.col("doc_id") + 10_000))
     shutil.copy("/root/testdata/sf0.001/labels.parquet", tmp_path / "labels.parquet")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
