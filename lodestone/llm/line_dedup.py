@@ -247,8 +247,8 @@ def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     return split.where(F.length("line") >= least)
 
 
-def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> DataFrame:
-    """Pairs (a, b) of line numbers (the first 8 bytes of the line's MD5) that may be within `edits`."""
+def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of line numbers (the first 8 bytes of the line's MD5) that may be within `edits`, and the lines (h, line) in them."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -276,18 +276,21 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: i
 
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     met = written(_meet(text.mapInPandas(first, "key long, h long, role int"), crowd), "line-keys")
-    found = [met.where("b is not null").select("a", "b")]
+    near = met.where("b is not null").select("a", "b").distinct()
     big = met.where("b is null").select("key", F.col("a").alias("h"), "role").distinct()
+    # all lines that the following steps need, so that texts are moved once
+    need = near.select(F.explode(F.array("a", "b")).alias("h")).unionByName(big.select("h")).distinct()
+    lines = text.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least).withColumn("h", _short("line"))
+    texts = written(lines.join(need.hint("merge"), "h", "left_semi").dropDuplicates(["h", "line"]), "line-texts")
+    found = [near]
     if not big.isEmpty():
-        lines = text.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least)
-        lines = lines.withColumn("h", _short("line")).join(big.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["line"])
-        rows = big.join(lines.hint("merge"), "h").select("key", "h", "role", "line").mapInPandas(again, "key long, h long, rest string")
+        rows = big.join(texts.hint("merge"), "h").select("key", "h", "role", "line").mapInPandas(again, "key long, h long, rest string")
         met = written(_compare(rows, edits, room), "line-rests")
         while not (left := met.where("b is null")).isEmpty():
             found.append(met.where("b is not null").select("a", "b"))
             met = written(_compare(_blocks(left.select("key", "a", "rest").distinct(), room), edits, room), "line-rests")
         found.append(met.where("b is not null").select("a", "b"))
-    return written(union_all(found).distinct(), "line-pairs")
+    return written(union_all(found).distinct(), "line-pairs"), texts
 
 
 def _short(line):
@@ -297,11 +300,7 @@ def _short(line):
 
 def links(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between different lines, by their MD5."""
-    pairs = candidate_pairs(docs, edits, least, crowd, room, text_col)
-    active = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-active")
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(F.length("line") >= least)
-    texts = lines.withColumn("h", _short("line")).join(active.hint("merge"), "h", "left_semi").dropDuplicates(["h", "line"])
-    texts = written(texts, "line-active-texts")
+    pairs, texts = candidate_pairs(docs, edits, least, crowd, room, text_col)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
