@@ -51,7 +51,7 @@ def targets(names: list, size: np.ndarray, weights: tuple = WEIGHTS, share: floa
 
 
 def schedule(spark, target: np.ndarray, slots: int) -> DataFrame:
-    """The mix as rows (slot, src, rank): src the source's number, rank counted from 0 within it, in slot order.
+    """The golden-ratio slots as rows (slot, src, rank): src the source's number, rank counted from 0 within it, in slot order.
 
     Ranks come from counts per range of slots and running sums over them, so no
     task ranks all slots of a source.
@@ -70,6 +70,11 @@ def schedule(spark, target: np.ndarray, slots: int) -> DataFrame:
     return ranked.join(before, ["src", "part"]).select("slot", "src", (F.col("before") + F.col("k")).alias("rank"))
 
 
+def words_of_targets(target: np.ndarray, size: np.ndarray, most: float = 2.0) -> np.ndarray:
+    """Whole words that each source gives: its target, rounded, and not above `most` times its size."""
+    return np.minimum(np.floor(target + 0.5), np.floor(most * size)).astype("int64")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, bucket_rows: int = 2_000, max_sources: int = 100_000, keep: bool = False) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, first_pass, second_pass (words of each pass, from the front of the text).
 
@@ -79,6 +84,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a source is a hash of the id (ties: id, size), so reruns agree. An empty
     table gives an empty result.
 
+    Each source gives its target to the nearest word, those with targets below a
+    block too: its last block is as short as that needs.
+
     slots: resolution of the schedule; a block has total target / slots words.
     Sources' totals (a name and a number each) go to the driver: more than
     max_sources of them raise ValueError. keep: keep the input's columns.
@@ -99,14 +107,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = sorted(known.to_dict("records"), key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     size = np.array([r["source_size"] for r in rows], "int64")
     target = targets([r["source"] for r in rows], size, weights, share, most) if rows else np.zeros(0)
-    total = float(target.sum())
-    block = max(1, -(-int(share * int(size.sum())) // slots)) if total else 1
-    if total:
-        hits = schedule(spark, target, max(1, round(total / block))).groupBy("src").agg((F.max("rank") + 1).alias("slots"))
-        taken = {r["src"]: r["slots"] * block for r in hits.collect()}
-    else:
-        taken = {}
-    info = [(r["source"], i, int(size[i]), float(target[i]), int(min(taken.get(i, 0), int(most * size[i])))) for i, r in enumerate(rows)]
+    words = words_of_targets(target, size, most)
+    info = [(r["source"], i, int(size[i]), float(target[i]), int(words[i])) for i, r in enumerate(rows)]
     sources = spark.createDataFrame(info, "source string, src int, source_size long, target double, words long")
     buckets = max(1, int(sum(r["rows"] for r in rows) // bucket_rows))
     # at most max_sources small rows, counted above

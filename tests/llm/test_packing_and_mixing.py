@@ -91,6 +91,15 @@ def test_mix_meets_its_targets(spark):
         assert abs(taken[s] - t) <= 40
 
 
+def test_sources_below_a_block_meet_their_targets(spark):
+    rows = [(i, "w " * 500, "big") for i in range(40)] + [(100 + i, "a b c", f"small{i:02d}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, slots=16).toPandas()  # a block has about 1,900 words, the small sources' targets are 6
+    small = out[out.doc_id >= 100]
+    assert (small.target == 6).all() and (small.taken == 6).all()
+    assert abs(out[out.doc_id < 100].taken.sum() - out[out.doc_id < 100].target.iloc[0]) <= 1
+
+
 def test_water_filling():
     t = mixing.targets(["a", "b", "c"], np.array([10, 1000, 1000]))
     assert t[0] == 20 and t[1:] == pytest.approx([(3015 - 20) / 3, 2 * (3015 - 20) / 3])
