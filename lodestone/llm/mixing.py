@@ -6,7 +6,9 @@ slot t is mapped from the golden-ratio point frac(t * phi) through the sources'
 cumulative targets, so every prefix of the sequence holds the sources in
 proportion within O(log t) slots. A source's k-th slot takes block k of that
 source, whose documents stand in a fixed pseudo-random order and are cut into
-blocks of as many tokens; after the last block the source starts again.
+blocks of as many words; after its last word the source starts again. Its last
+block ends with its target. `mix` gives the slots of each document's words, and
+`mixed_documents` the documents in order of them.
 """
 
 from __future__ import annotations
@@ -75,8 +77,18 @@ def words_of_targets(target: np.ndarray, size: np.ndarray, most: float = 2.0) ->
     return np.minimum(np.floor(target + 0.5), np.floor(most * size)).astype("int64")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, bucket_rows: int = 2_000, max_sources: int = 100_000, keep: bool = False) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, first_pass, second_pass (words of each pass, from the front of the text).
+def block_size(total: int, slots: int, largest: int) -> int:
+    """Words of a block: total / slots, rounded up, but from 1 to `largest`, so large mixes have more slots, not larger blocks."""
+    return int(min(largest, max(1, -(-total // slots))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, largest_block: int = 4_096, bucket_rows: int = 2_000, max_sources: int = 100_000, keep: bool = False) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, first_pass, second_pass (words of each pass, from the front of the text), and first_from, first_to, second_from, second_to.
+
+    The last four are the slots of the mix in which the passes' words begin and
+    end, null where a pass takes none. A source's words, one pass after the
+    other, are cut into blocks of as many words, and block k stands in the
+    source's k-th slot.
 
     taken = first_pass + second_pass and is at most `most` (2 at most) times the
     size. Null and empty texts have size 0 and are taken 0 times; a null source
@@ -84,20 +96,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a source is a hash of the id (ties: id, size), so reruns agree. An empty
     table gives an empty result.
 
-    Each source gives its target to the nearest word, those with targets below a
-    block too: its last block is as short as that needs.
+    A source's last block is as short as its target needs, so each source gives
+    its target to the nearest word, those with targets below a block too.
 
-    slots: resolution of the schedule; a block has total target / slots words.
+    slots: resolution of the schedule; a block has total target / slots words,
+    but largest_block at most, beyond which the slots grow with the input.
     Sources' totals (a name and a number each) go to the driver: more than
-    max_sources of them raise ValueError. keep: keep the input's columns.
+    max_sources of them raise ValueError. keep: only documents taken, with the
+    input's columns as row, and the place of the document in its source.
     """
     if most > 2:
         raise ValueError("a source is passed over twice at most")
     spark = docs.sparkSession
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), *row)
-    if not keep:
-        base = written(base, "mix-sizes")
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), F.monotonically_increasing_id().alias("uid"), *row)
+    # rows are known by uid from here on, so that texts are not moved where places are worked out
+    base = written(base, "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     known = per.limit(max_sources + 1).toPandas()
     if len(known) > max_sources:
@@ -108,34 +122,63 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size = np.array([r["source_size"] for r in rows], "int64")
     target = targets([r["source"] for r in rows], size, weights, share, most) if rows else np.zeros(0)
     words = words_of_targets(target, size, most)
-    info = [(r["source"], i, int(size[i]), float(target[i]), int(words[i])) for i, r in enumerate(rows)]
-    sources = spark.createDataFrame(info, "source string, src int, source_size long, target double, words long")
+    block = block_size(int(words.sum()), slots, largest_block)
+    need = -(-words // block)
+    n_slots = int(need.sum())
+    have = np.zeros(len(rows), "int64")
+    slots_of = None
+    if n_slots:
+        slots_of = written(schedule(spark, words, n_slots), "mix-slots")
+        for r in slots_of.groupBy("src").agg((F.max("rank") + 1).alias("n")).collect():
+            have[r["src"]] = min(r["n"], need[r["src"]])
+    # blocks that the schedule's points leave over, few for each source, stand behind its slots
+    late = n_slots + np.cumsum(need - have) - (need - have)
+    info = [(r["source"], i, int(size[i]), float(target[i]), int(words[i]), int(have[i]), int(late[i])) for i, r in enumerate(rows)]
+    sources = spark.createDataFrame(info, "source string, src int, source_size long, target double, words long, have long, late long")
     buckets = max(1, int(sum(r["rows"] for r in rows) // bucket_rows))
     # at most max_sources small rows, counted above
-    placed = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).drop("source")
+    placed = base.drop("row").join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).drop("source")
     placed = placed.withColumn("key", F.xxhash64("id", F.lit(1))).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)))
     sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("words_in"))
     before = sums.select("src", "bucket", (F.sum("words_in").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words_in")).alias("before"))
     inner = Window.partitionBy("src", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("start", F.sum("size").over(inner) - F.col("size")).join(before, ["src", "bucket"])
-    at = F.col("start") + F.col("before")
-    within = lambda x: F.greatest(F.lit(0), F.least(x - at, F.col("size"))).cast("long")
-    out = placed.withColumns({"first_pass": within(F.col("words")), "second_pass": within(F.col("words") - F.col("source_size"))})
-    return out.select(
-        F.col("id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
-        (F.col("first_pass") + F.col("second_pass")).alias("taken"), "first_pass", "second_pass", *(["row"] if keep else []),
+    placed = placed.withColumn("start", F.sum("size").over(inner) - F.col("size")).join(before, ["src", "bucket"]).withColumn("place", F.col("start") + F.col("before"))
+    within = lambda x: F.greatest(F.lit(0), F.least(x - F.col("place"), F.col("size"))).cast("long")
+    placed = placed.withColumns({"first_pass": within(F.col("words")), "second_pass": within(F.col("words") - F.col("source_size"))})
+    placed = written(placed.select("uid", "id", "size", "src", "source_size", "target", "have", "late", "place", "first_pass", "second_pass"), "mix-places")
+    ends = ("first_from", "first_to", "second_from", "second_to")
+    if slots_of is None:
+        out = placed.select("*", *[F.lit(None).cast("long").alias(c) for c in ends])
+    else:
+        # the blocks in which a document's passes begin and end; the second pass goes on where the first one ends
+        again = F.col("place") + F.col("source_size")
+        spots = {"first_from": F.col("place"), "first_to": F.col("place") + F.col("first_pass") - 1, "second_from": again, "second_to": again + F.col("second_pass") - 1}
+        some = F.filter(
+            F.array(*[F.struct(F.lit(c).alias("end"), F.col("first_pass" if c.startswith("first") else "second_pass").alias("n"), F.floor(at / block).cast("long").alias("rank")) for c, at in spots.items()]), lambda x: x["n"] > 0,
+        )
+        asked = placed.select("uid", "src", "have", "late", F.inline(some))
+        found = asked.join(slots_of.hint("merge"), ["src", "rank"], "left").withColumn("slot", F.when(F.col("rank") < F.col("have"), F.col("slot")).otherwise(F.col("late") + F.col("rank") - F.col("have")))
+        found = found.groupBy("uid").agg(*[F.max(F.when(F.col("end") == c, F.col("slot"))).alias(c) for c in ends])
+        out = placed.join(found.hint("merge"), "uid", "left")
+    out = out.select(
+        *(["uid", "place"] if keep else []), F.col("id").alias("id" if keep else id_col), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+        (F.col("first_pass") + F.col("second_pass")).alias("taken"), "first_pass", "second_pass", *ends,
     )
+    return out.where("taken > 0").join(base.select("uid", "row").hint("merge"), "uid") if keep else out
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """`docs` as the mix takes them: a row for each pass over a document, its text cut after the words taken.
+    """`docs` as the mix takes them, in order of the slots in which they begin: a row for each pass over a document, its text cut after the words taken.
 
     A document in both passes appears twice; only the last document of a pass
     over a source can be cut. Rows that the mix takes no word of do not appear.
     Where docs has n_chars, it is set anew for cut texts.
     """
     m = mix(docs, text_col=text_col, keep=True, **options)
-    m = m.withColumn("words", F.explode(F.filter(F.array("first_pass", "second_pass"), lambda x: x > 0)))
+    passes = [F.struct(F.col("first_pass").alias("words"), F.col("first_from").alias("slot"), F.col("place").alias("at")), F.struct(F.col("second_pass").alias("words"), F.col("second_from").alias("slot"), (F.col("place") + F.col("source_size")).alias("at"))]
+    m = m.select("size", "row", F.inline(F.filter(F.array(*passes), lambda x: x["words"] > 0)))
+    # documents that begin in one slot are of one source, in its order
+    m = m.orderBy("slot", "at")
     whole = F.col("words") == F.col("size")
     # the text up to the end of word number `words`: split keeps words only, so the end is found by the pieces before it
     pieces = F.expr(f"regexp_extract_all(row.`{text_col}`, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)")

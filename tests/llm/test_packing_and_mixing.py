@@ -100,6 +100,41 @@ def test_sources_below_a_block_meet_their_targets(spark):
     assert abs(out[out.doc_id < 100].taken.sum() - out[out.doc_id < 100].target.iloc[0]) <= 1
 
 
+def test_words_stand_in_the_slots_of_their_blocks(spark):
+    rows = [(i, "w " * (1 + i % 7), "a" if i % 10 else f"rare{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(df, slots=100).toPandas()
+    block = mixing.block_size(int(out.taken.sum()), 100, 4096)
+    assert block > 4
+    out["source"] = [rows[i][2] for i in out.doc_id]
+    used = {}  # slot: sources and words that lie in it, of documents within one slot
+    for r in out.itertuples():
+        for n, a, b in ((r.first_pass, r.first_from, r.first_to), (r.second_pass, r.second_from, r.second_to)):
+            assert (n > 0) == (a == a) == (b == b) and (not n or b == a or n > 1)
+            for slot in {a, b} if n else ():
+                used.setdefault(int(slot), []).append((r.source, n if a == b else 0))
+    assert all(len({s for s, _ in x}) == 1 and sum(n for _, n in x) <= block for x in used.values())
+    taken = out.groupby("source").taken.sum()
+    assert {s: sum(x[0][0] == s for x in used.values()) for s in taken.index} == {s: -(-n // block) for s, n in taken.items()}
+    mixed = [(r.doc_id, r.source) for r in mixing.mixed_documents(df, slots=100).collect()]
+    want = sorted((slot, i) for r in out.itertuples() for slot, i in ((r.first_from, r.doc_id), (r.second_from, r.doc_id)) if slot == slot)
+    assert sorted(i for i, _ in mixed) == sorted(i for _, i in want)
+    begins = {}
+    for slot, i in want:
+        begins.setdefault(i, []).append(slot)
+    assert (s := [begins[i].pop(0) for i, _ in mixed]) == sorted(s)
+
+
+def test_mixed_documents_interleave_the_sources(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(600)], "doc_id long, text string, source string")
+    src = [r.source for r in mixing.mixed_documents(df, weights=(1.0, 1.0), share=1.0).collect()]
+    assert len(src) == 600 and all(abs(src[:n].count("a") - n / 2) <= 8 for n in range(0, 600, 20))
+
+
+def test_blocks_are_bounded_in_words():
+    assert mixing.block_size(6_750_000_000, 1 << 18, 4096) == 4096 and mixing.block_size(1000, 1 << 18, 4096) == 1
+
+
 def test_water_filling():
     t = mixing.targets(["a", "b", "c"], np.array([10, 1000, 1000]))
     assert t[0] == 20 and t[1:] == pytest.approx([(3015 - 20) / 3, 2 * (3015 - 20) / 3])
