@@ -9,10 +9,10 @@ by the hash of such a key; index and probe rows that meet make candidates.
 
 A key under which more than `crowd` rows meet makes no pairs. Its lines agree on
 a segment, so what is left of them on both sides differs by `edits` at most:
-these remainders are joined within the key by the same step, and the groups it
-makes are compared in memory, up to `room` rows at once. Larger ones are cut
+these remainders are grouped within the key by the same step, and the whole
+lines of each group are compared in memory, up to `room` rows at once. Larger ones are cut
 into blocks first, and each two blocks compared, so no task holds more. Within
-such a group, remainders whose letter counts differ too much are passed over,
+such a group, lines whose letter counts differ too much are passed over,
 and only links that join lines not yet joined are kept, since a group of m lines
 needs m - 1 of them.
 
@@ -213,24 +213,28 @@ def spanning(ids: np.ndarray, texts: list[str], edits: int) -> list[tuple[int, i
 
 
 def _compare(rows: DataFrame, edits: int, room: int) -> DataFrame:
-    """Rows (key, h, rest) to links (a, b) within groups of up to `room` rows, and (a, null, key, rest) for larger ones."""
+    """Rows (key, h, line) to links (a, b) within groups of up to `room` rows, and (a, null, key, line) for larger ones.
+
+    Whole lines are compared: a forest of what the lines leave beside their
+    segments could hold a false link in place of a true one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, over in sorted_groups(batches, room):
             if over:
-                yield pd.DataFrame({"a": part["h"], "b": pd.array([None] * len(part), "Int64"), "key": part["key"].astype("Int64"), "rest": part["rest"]})
+                yield pd.DataFrame({"a": part["h"], "b": pd.array([None] * len(part), "Int64"), "key": part["key"].astype("Int64"), "line": part["line"]})
                 continue
             found = []
             for _, own in part.groupby("key", sort=False):
                 own = own.drop_duplicates("h")
                 if len(own) > 1:
-                    found += spanning(own["h"].to_numpy(), own["rest"].tolist(), edits)
+                    found += spanning(own["h"].to_numpy(), own["line"].tolist(), edits)
             if found:
                 x = pd.DataFrame(found, columns=["a", "b"])
                 none = pd.array([None] * len(x), "Int64")
-                yield pd.DataFrame({"a": x.min(axis=1), "b": x.max(axis=1).astype("Int64"), "key": none, "rest": pd.array([None] * len(x), "string")})
+                yield pd.DataFrame({"a": x.min(axis=1), "b": x.max(axis=1).astype("Int64"), "key": none, "line": pd.array([None] * len(x), "string")})
 
-    return dealt(rows).mapInPandas(run, "a long, b long, key long, rest string")
+    return dealt(rows).mapInPandas(run, "a long, b long, key long, line string")
 
 
 def _blocks(big: DataFrame, room: int) -> DataFrame:
@@ -238,7 +242,7 @@ def _blocks(big: DataFrame, room: int) -> DataFrame:
     per = big.groupBy("key").agg((F.floor(F.count("*") / (room // 4)) + 1).cast("int").alias("blocks"))
     own = big.join(written(per, "line-blocks").hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("a", F.lit(3)), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("a").alias("h"), "rest")
+    return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("a").alias("h"), "line")
 
 
 def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -264,15 +268,15 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: i
                 yield pd.DataFrame({"key": np.array(key, "i8"), "h": np.array(ids, "i8"), "role": np.array(roles, "i4")})
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows (key, h, role, line) of large groups to the keys, within the group, of what the line leaves beside the key's segment, which is rest."""
+        """Rows (key, h, role, line) of large groups to the keys, within the group, of what the line leaves beside the key's segment, which is rest; the line goes along."""
         for pdf in batches:
             out = []
             for key, h, role, s in zip(pdf["key"].tolist(), pdf["h"].tolist(), pdf["role"].tolist(), pdf["line"], strict=True):
                 for x, r, at, end in keyed(s, 3, edits):
                     if x == key and r == role:
                         rest = s[:at] + s[end:]
-                        out += [(y, h, rest) for y, _, _, _ in keyed(rest, role, edits, key)]
-            yield pd.DataFrame(out, columns=["key", "h", "rest"])
+                        out += [(y, h, s) for y, _, _, _ in keyed(rest, role, edits, key)]
+            yield pd.DataFrame(out, columns=["key", "h", "line"])
 
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     met = written(_meet(text.mapInPandas(first, "key long, h long, role int"), crowd), "line-keys")
@@ -284,11 +288,11 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: i
     texts = written(lines.join(need.hint("merge"), "h", "left_semi").dropDuplicates(["h", "line"]), "line-texts")
     found = [near]
     if not big.isEmpty():
-        rows = big.join(texts.hint("merge"), "h").select("key", "h", "role", "line").mapInPandas(again, "key long, h long, rest string")
+        rows = big.join(texts.hint("merge"), "h").select("key", "h", "role", "line").mapInPandas(again, "key long, h long, line string")
         met = written(_compare(rows, edits, room), "line-rests")
         while not (left := met.where("b is null")).isEmpty():
             found.append(met.where("b is not null").select("a", "b"))
-            met = written(_compare(_blocks(left.select("key", "a", "rest").distinct(), room), edits, room), "line-rests")
+            met = written(_compare(_blocks(left.select("key", "a", "line").distinct(), room), edits, room), "line-rests")
         found.append(met.where("b is not null").select("a", "b"))
     return written(union_all(found).distinct(), "line-pairs"), texts
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, line_dedup, near_dedup
 from lodestone.llm.shared import components
@@ -176,6 +177,26 @@ def test_line_classes_match_brute_force(spark, crowd, room):
     assert got == want
 
 
+def test_crowded_lines_are_linked_by_true_links_only(spark):
+    # a-b and b-c are 2 edits apart, a-c 4; beside the shared middle segment a and c differ by 2 only
+    rows = []
+    for k in range(12):
+        middle = "".join(chr(0x4E00 + 8 * k + j) for j in range(8))
+        rows += ["abcdefg" + middle + "hABCDEFGH", "abcdefgh" + middle + "ABCDEFGH", "abXdefgh" + middle + "ABCDEFYH"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    for k in range(12):
+        a, b, c = rows[3 * k : 3 * k + 3]
+        assert edit_distance(a, b) == edit_distance(b, c) == 2 and edit_distance(a, c) == 4
+    lines, links = rows, Sets()
+    for i, x in enumerate(lines):
+        links.find(x)
+        for y in lines[:i]:
+            if edit_distance(x, y) <= 2:
+                links.join(x, y)
+    want = len(rows) - len({links.find(x) for x in rows})
+    assert line_dedup.dedup_report(df, crowd=2).agg(F.sum("n_dropped")).first()[0] == want
+
+
 def test_drop_lines_leaves_first_occurrences(spark):
     line = "a line that is long enough to be judged"
     df = spark.createDataFrame([(1, f"{line}\nshort"), (2, f"other text that stays in here\n{line}!\nshort")], "doc_id long, text string")
