@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
-A text is split into sentences, each is normalised and mapped to the identifier
-of a known licence sentence, and the sequence of identifiers is matched against
+A text is split into blocks at blank lines, each is normalised, the known licence
+sentences in it are mapped to their identifiers, and the sequence of identifiers is matched against
 ordered rules, longer ones first, as each names one licence.
 """
 
@@ -71,9 +71,8 @@ RULES = (
     (("reserved",), "All-Rights-Reserved"),
 )
 _NOISE = re.compile(r"[^a-z0-9+]+")
-#: A sentence ends at a line of its own, or at . ! ? before white space; a blank line always ends one.
+#: A blank line ends a block. Marks such as . ; : end none, as known sentences hold them ("free software: you", "v. 2.0").
 _BLOCK = re.compile(r"\n\s*\n")
-_END = re.compile(r"(?<=[.!?:;])\s+")
 SCHEMA = "licenses string, sentence_ids string, n_known long, spans string"
 
 
@@ -87,33 +86,28 @@ class Recogniser:
     def __init__(self, sentences: dict[str, tuple[str, ...]], rules: tuple):
         import ahocorasick
 
-        self.exact = {s: k for k, many in sentences.items() for s in many}
+        known = {s: k for k, many in sentences.items() for s in many}
         self.inside = ahocorasick.Automaton()
-        for s, k in self.exact.items():
+        for s, k in known.items():
             self.inside.add_word(f" {s} ", (len(s) + 2, k))
         self.inside.make_automaton()
         self.rules = sorted(enumerate(rules), key=lambda r: (-len(r[1][0]), r[0]))
         #: a word of each known sentence; a text without any has no known sentence
         self.anchors = ("licen", "permission", "copyright", "warrant", "redistribut", "rights")
-        assert all(any(a in s for a in self.anchors) or "gpl" in s for s in self.exact)
+        assert all(any(a in s for a in self.anchors) or "gpl" in s for s in known)
 
     def identify(self, text: str) -> list[str]:
-        """Identifiers in order of the text: of a whole sentence, else of the longest known ones within it.
+        """Identifiers in order of the text: of the longest known sentences within each block.
 
-        Lines are sentences where they map by themselves; otherwise a block's
-        lines are joined, as licences are wrapped.
+        A block's lines are joined, as licences are wrapped.
         """
         found = []
         for block in _BLOCK.split(text):
             low = block.lower()
             if not any(a in low for a in self.anchors) and "gpl" not in low:
                 continue
-            for s in _END.split(" ".join(block.split())):
-                clean = normalise(s)
-                if k := self.exact.get(clean):
-                    found.append(k)
-                elif clean:
-                    found += self._within(clean)
+            if clean := normalise(block):
+                found += self._within(clean)
         return found
 
     def _within(self, clean: str) -> list[str]:

@@ -142,6 +142,27 @@ def test_licences(spark):
     assert L.scan(df.where("doc_id < 0")).count() == 0
 
 
+GPL = """# This program is free software{mark} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{sep} either version {version} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+
+
+def test_punctuated_headers_are_recognised():
+    rec = L.Recogniser(L.SENTENCES, L.RULES)
+    for text, name, n in [
+        (GPL.format(mark=":", sep=",", version=3), "GPL-3.0-or-later", 2), (GPL.format(mark=";", sep=";", version=2), "GPL-2.0-or-later", 2), (GPL.format(mark=";", sep=",", version=2).replace("# ", "").replace("#", ""), "GPL-2.0-or-later", 2),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", 1),
+    ]:
+        assert rec.match(rec.identify(text)) == [(name, 0, n)]
+
+
 def test_longer_rules_win_and_order_matters():
     rec = L.Recogniser(L.SENTENCES, L.RULES)
     assert rec.match(["bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"]) == [("BSD-3-Clause", 0, 4)]
