@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dealt, sorted_groups, union_all, written
+from .shared import WORD, components, dealt, sorted_groups, union_all, written
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -245,10 +245,11 @@ def _blocks(big: DataFrame, room: int) -> DataFrame:
     return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("a").alias("h"), "line")
 
 
-def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no and line of every line of at least `least` characters."""
+def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """doc_id, line_no and line of every line of at least `least` characters; with `short`, of shorter ones with a word in them too."""
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return split.where(F.length("line") >= least)
+    long = F.length("line") >= least
+    return split.where(long | F.rlike("line", F.lit(WORD)) if short else long)
 
 
 def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -319,48 +320,49 @@ def links(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_c
     return written(joined.mapInPandas(check, "a binary, b binary"), "line-links")
 
 
-def occurrences(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, class (MD5 of the class's least line), first (whether it stays), exact (whether an equal line stands before it)."""
+def occurrences(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """doc_id, line_no, class (MD5 of the class's least line), first (whether it stays), exact (whether an equal line stands before it), short (whether it has under `least` characters)."""
     linked = links(docs, edits, least, crowd, room, text_col)
-    own = lines_of(docs, least, id_col, text_col).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("id"))
+    own = lines_of(docs, least, id_col, text_col, short).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("id"), (F.length("line") < least).alias("short"))
     if linked.isEmpty():
         named = own.withColumn("class", F.col("id"))
     else:
         comp = written(components(linked), "line-classes").select(F.col("node").alias("id"), "component")
-        named = own.join(comp.hint("merge"), "id", "left").select("doc_id", "line_no", "id", F.coalesce("component", "id").alias("class"))
+        named = own.join(comp.hint("merge"), "id", "left").select("doc_id", "line_no", "id", "short", F.coalesce("component", "id").alias("class"))
     named = written(named.withColumn("uid", F.monotonically_increasing_id()), "line-occurrences")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"), F.col("uid").alias("uid"))
     # most classes have one line only: those need no join
     many = written(named.groupBy("class").agg(F.min(order).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-first")
     same = written(named.groupBy("id").agg(F.min(order).alias("same"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-same")
     joined = named.join(many.hint("merge"), "class", "left").join(same.hint("merge"), "id", "left")
-    return joined.select("doc_id", "line_no", "class", F.coalesce(F.col("uid") == F.col("top.uid"), F.lit(True)).alias("first"), F.coalesce(F.col("uid") != F.col("same.uid"), F.lit(False)).alias("exact"))
+    return joined.select("doc_id", "line_no", "class", F.coalesce(F.col("uid") == F.col("top.uid"), F.lit(True)).alias("first"), F.coalesce(F.col("uid") != F.col("same.uid"), F.lit(False)).alias("exact"), "short")
 
 
-def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per document id: id, n_lines, n_long (lines judged), n_dropped, n_exact, n_near (of those dropped).
 
     Lines are the pieces between line feeds, compared as they are; those of
-    fewer than `least` characters are not judged. Lines within `edits` edits are
+    fewer than `least` characters are not judged; with `short`, those with a
+    word in them are, by equality alone, and n_short counts them. Lines within `edits` edits are
     linked, links make classes, and of a class the first line by (id, line
     number) stays in the whole corpus. n_exact: dropped lines equal to one
     before, n_near: other dropped ones. Null texts have no lines; an empty text
     has one, not judged. Null ids come last; rows that repeat an id are counted
     together. An empty table gives an empty result.
     """
-    marks = occurrences(docs, edits, least, crowd, room, id_col, text_col)
-    per = marks.groupBy("doc_id").agg(F.count("*").alias("n_long"), F.count_if(~F.col("first")).alias("n_dropped"), F.count_if(~F.col("first") & F.col("exact")).alias("n_exact"))
+    marks = occurrences(docs, edits, least, crowd, room, id_col, text_col, short)
+    per = marks.groupBy("doc_id").agg(F.count_if(~F.col("short")).alias("n_long"), F.count_if("short").alias("n_short"), F.count_if(~F.col("first")).alias("n_dropped"), F.count_if(~F.col("first") & F.col("exact")).alias("n_exact"))
     per = written(per, "line-report").withColumnRenamed("doc_id", "d")
     every = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.sum(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))).cast("long").alias("n_lines"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return every.join(per, every["doc_id"].eqNullSafe(per["d"]), "left").select(
-        F.col("doc_id").alias(id_col), "n_lines", zero("n_long").alias("n_long"), zero("n_dropped").alias("n_dropped"), zero("n_exact").alias("n_exact"), (zero("n_dropped") - zero("n_exact")).alias("n_near"),
+        F.col("doc_id").alias(id_col), "n_lines", zero("n_long").alias("n_long"), *([zero("n_short").alias("n_short")] if short else []), zero("n_dropped").alias("n_dropped"), zero("n_exact").alias("n_exact"), (zero("n_dropped") - zero("n_exact")).alias("n_near"),
     )
 
 
-def drop_lines(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """`docs` without the lines that the report counts as dropped; documents keep their rows. Ids must be unique and not null."""
-    gone = occurrences(docs, edits, least, crowd, room, id_col, text_col).where("not first").groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("__gone_lines"))
+    gone = occurrences(docs, edits, least, crowd, room, id_col, text_col, short).where("not first").groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("__gone_lines"))
     joined = docs.join(written(gone, "line-gone"), id_col, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone_lines", i))
     text = F.when(F.col("__gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

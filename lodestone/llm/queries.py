@@ -56,7 +56,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_report
 
-    return dedup_report(_table(spark, sf_dir, "documents"), edits=2, least=16)
+    return dedup_report(_table(spark, sf_dir, "documents"), edits=2, least=16, short=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

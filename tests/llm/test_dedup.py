@@ -197,6 +197,13 @@ def test_crowded_lines_are_linked_by_true_links_only(spark):
     assert line_dedup.dedup_report(df, crowd=2).agg(F.sum("n_dropped")).first()[0] == want
 
 
+def test_short_lines_are_judged_by_equality(spark):
+    df = spark.createDataFrame([(1, "Share this\n\n  \nReply"), (2, "Share this\nShare thiz\n\n  \na line that is long enough"), (3, "a line that is long enouhg\nShare this\nReply")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_long, r.n_short, r.n_dropped, r.n_exact, r.n_near) for r in line_dedup.dedup_report(df, short=True).collect()}
+    assert got == {1: (0, 2, 0, 0, 0), 2: (1, 2, 1, 1, 0), 3: (1, 2, 3, 2, 1)}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(df, short=True).collect()}[2] == "Share thiz\n\n  \na line that is long enough"
+
+
 def test_drop_lines_leaves_first_occurrences(spark):
     line = "a line that is long enough to be judged"
     df = spark.createDataFrame([(1, f"{line}\nshort"), (2, f"other text that stays in here\n{line}!\nshort")], "doc_id long, text string")
