@@ -1,18 +1,26 @@
 """Quality rules with risk-controlled thresholds, all in DataFrame functions.
 
 Each rule compares a document's measure with a cutoff. Cutoffs are chosen per
-stratum (language) on labelled documents: for every rule and every cutoff of a
-fixed grid, the good documents it would reject are counted, and the exact
-binomial tail P(Bin(n, risk) <= k) is the p-value of "it rejects `risk` of the
-good documents or more". Cutoffs whose p-value is below `error` divided by the
-number of all tests (strata x rules x cutoffs; Bonferroni) are certified; of
-these each rule takes the strictest, and none where no cutoff is certified. The
-rules' risks add up to `risk_total`, so with probability 1 - error no stratum
-loses more than that share of its good documents to these rules.
+stratum (language) on labelled documents, along a path fixed beforehand: from
+all rules at the loosest cutoff of their grids in equal steps to all at the
+strictest. At each step the good documents that any rule would reject are
+counted, and the exact binomial tail P(Bin(n, risk_total) <= k) is the p-value
+of "this rejects risk_total of the good documents or more". Steps are nested,
+so they are tested in order of the path (fixed-sequence testing) at a level of
+error / (strata + 1), without a share of the error for each rule and cutoff; the
+last step certified holds. With probability 1 - error no stratum with cutoffs of
+its own loses more than risk_total of its good documents to these rules.
+
+A stratum needs log(error / (strata + 1)) / log(1 - risk_total) good documents
+before any step can be certified: 459 at the defaults and four strata. One with
+fewer takes the cutoffs certified on all strata together, tested at the share of
+the error left for that; their bound holds for all strata's documents together,
+not for the small stratum by itself.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +39,11 @@ GRID = {
 }
 
 
+#: Steps of the path, counted from 1, and the cutoffs of each.
+STEPS = max(map(len, GRID.values()))
+PATH = [{rule: sorted(cuts, reverse=True)[-(-step * len(cuts) // STEPS) - 1] for rule, cuts in GRID.items()} for step in range(1, STEPS + 1)]
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with `value` worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -107,7 +120,7 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, risk_total: float = 0.01, error: float = 0.05, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
-    """Certified cutoffs: stratum, rule, cutoff, n (good documents), rejected, p_value; the strictest certified one of each stratum and rule.
+    """Certified cutoffs: stratum, rule, cutoff, n (good documents), rejected (by any rule), p_value; those of the last certified step of the stratum, or of all strata for one with too few labels.
 
     Good documents that already fail the base rules take no part: the verdict
     does not concern them. The grid is fixed beforehand, so all labels serve as
@@ -116,23 +129,27 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk_total: float = 0.01,
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
     held = measured.where(~F.col("base_failed")).join(good, "id", "left_semi")
     measure = held.select("stratum", *[_measure(r).alias(r) for r in RULES])
-    counts = [F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.count_if(F.col(rule) > cut).alias("rejected")) for rule, cuts in GRID.items() for cut in cuts]
-    table = measure.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*counts).alias("tests"))
-    table = written(table, "rule-counts")
-    strata = table.agg(F.count("*").alias("s")).first()["s"]
-    tests = max(1, strata) * sum(map(len, GRID.values()))
-    flat = table.select("stratum", "n", F.inline("tests"))
-    p = binomial_tail(F.col("n"), F.col("rejected"), risk_total / len(RULES))
-    certified = flat.withColumn("p_value", p).where(F.col("p_value") <= error / tests)
-    return certified.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "rejected", "p_value")).alias("x")).select("stratum", "rule", "x.*")
+    counts = [F.struct(F.lit(k + 1).alias("step"), F.count_if(reduce(lambda a, b: a | b, [F.col(r) > cut for r, cut in cuts.items()])).alias("rejected")) for k, cuts in enumerate(PATH)]
+    table = written(measure.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*counts).alias("tests")), "rule-counts")
+    level = error / (max(1, table.count()) + 1)
+    least = math.ceil(math.log(level) / math.log(1 - risk_total))
+    each = table.select("stratum", "n", F.inline("tests"))
+    tail = binomial_tail(F.col("n"), F.col("rejected"), risk_total)
+    last = F.max(F.struct("step", "n", "rejected", "p_value")).alias("x")
+    own = each.withColumn("p_value", tail).where(F.col("p_value") <= level).groupBy("stratum").agg(last)
+    pool = each.groupBy("step").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected")).withColumn("p_value", tail).where(F.col("p_value") <= level).agg(last).where("x is not null")
+    steps = own.unionByName(table.where(F.col("n") < least).select("stratum").crossJoin(pool))
+    cutoffs = F.array(*[F.struct(F.lit(r).alias("rule"), F.get(F.array(*[F.lit(float(c[r])) for c in PATH]), F.col("x.step") - 1).alias("cutoff")) for r in RULES])
+    return steps.select("stratum", F.col("x.n").alias("n"), F.col("x.rejected").alias("rejected"), F.col("x.p_value").alias("p_value"), F.inline(cutoffs)).select("stratum", "rule", "cutoff", "n", "rejected", "p_value")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules.
 
     kept is false where the base rules fail or a measure is above its stratum's
-    certified cutoff; failed_rules names the latter. Strata without a certified
-    cutoff, null and unlabelled ones among them, reject by the base rules alone.
+    certified cutoff; failed_rules names the latter. Strata with too few
+    labels have the cutoffs of all strata together. Strata without a certified
+    cutoff, unlabelled ones among them, reject by the base rules alone.
     Null and empty texts have no words and fail the base rules. Repeated rows
     are judged alike; an empty table stays empty.
     """

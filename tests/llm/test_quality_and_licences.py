@@ -112,6 +112,14 @@ def test_thresholds_are_certified_and_reject_few_good(spark):
     assert cuts and all(r.p_value <= 0.05 / (2 * sum(map(len, R.GRID.values()))) for r in cuts)
 
 
+def test_default_risk_rejects_junk_with_few_hundred_labels(spark):
+    docs, labels = labelled(spark, 2000)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "es").otherwise(F.col("lang")))  # too few of es: pooled
+    j = R.apply_rules(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in j.groupBy("lang").agg(F.count_if(F.expr("quality = 0 and kept")).alias("junk"), F.count_if(F.expr("quality = 0")).alias("bad"), F.count_if(F.expr("quality = 1 and not kept and not base_failed")).alias("lost"), F.count_if(F.expr("quality = 1")).alias("good")).collect():
+        assert r.bad and r.junk < 0.2 * r.bad and r.lost <= 0.01 * r.good
+
+
 def test_few_labels_certify_nothing(spark):
     docs, labels = labelled(spark, 60)
     out = R.apply_rules(docs, labels)
