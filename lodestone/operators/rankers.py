@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..settings import ALPHA_MIN, ALPHA_N0, ALPHA_TAU, BPR, RANGE_EPSILON, SEED, VOCABULARY
+from ..settings import ALPHA_MIN, ALPHA_N0, ALPHA_TAU, BPR, RANGE_EPSILON, RIDGE_GRID, SEED, VOCABULARY
 
 #: Scores are rounded so that the order of summation cannot part equal ones.
 DIGITS = 12
@@ -173,31 +173,56 @@ def gram(pairs: DataFrame) -> DataFrame:
     return pairs.select("user_id", F.col("item_id").alias("a")).join(pairs.select("user_id", F.col("item_id").alias("b")), "user_id").groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
-def ridge_weights(pairs: DataFrame, lam: float, normalise: str = "row", max_items: int = 20_000) -> DataFrame:
+def _closed_form(pdf: pd.DataFrame, lam: float, normalise: str) -> pd.DataFrame:
+    """a, b, weight from the gram's rows (a, b, c)."""
+    ids = np.unique(pdf["a"])
+    g = np.zeros((len(ids), len(ids)))
+    g[np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])] = pdf["c"]
+    p = np.linalg.inv(g + lam * np.eye(len(ids)))
+    d = np.diag(p)
+    w = -p / (d[:, None] if normalise == "row" else d[None, :])
+    np.fill_diagonal(w, 0.0)
+    i, j = np.nonzero(w)
+    return pd.DataFrame({"a": ids[i], "b": ids[j], "weight": w[i, j]})
+
+
+def ridge_weights(pairs: DataFrame, lam: float, normalise: str = "row", max_items: int = 8_000) -> DataFrame:
     """a, b, weight of the closed-form item regression, diagonal 0.
 
     P = inverse of (gram + lam * I). normalise: 'row' divides by the diagonal of
     P by rows, 'column' by columns, the published form. One task holds the gram
-    of at most max_items items; more raise ValueError.
+    of at most max_items items, which with its rows and its inverse takes about
+    3 GB at 8,000; more raise ValueError.
     """
     if normalise not in ("row", "column"):
         raise ValueError(normalise)
     if (n := pairs.select("item_id").distinct().count()) > max_items:
         raise ValueError(f"{n} items are more than {max_items}")
+    kind = pairs.schema["item_id"].dataType.simpleString()
+    return gram(pairs).groupBy().applyInPandas(lambda pdf: _closed_form(pdf, lam, normalise), f"a {kind}, b {kind}, weight double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["a"])
-        g = np.zeros((len(ids), len(ids)))
-        g[np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])] = pdf["c"]
-        p = np.linalg.inv(g + lam * np.eye(len(ids)))
-        d = np.diag(p)
-        w = -p / (d[:, None] if normalise == "row" else d[None, :])
-        np.fill_diagonal(w, 0.0)
-        i, j = np.nonzero(w)
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "weight": w[i, j]})
+
+def ridge_grid(pairs: DataFrame, lams: tuple[float, ...] = RIDGE_GRID, normalise: str = "row", max_items: int = 8_000) -> DataFrame:
+    """lam, user_id, item_id, score: the closed form for a grid of penalties, one task for each, from one gram."""
+    if (n := pairs.select("item_id").distinct().count()) > max_items:
+        raise ValueError(f"{n} items are more than {max_items}")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _closed_form(pdf, float(key[0]), normalise).assign(lam=float(key[0]))
 
     kind = pairs.schema["item_id"].dataType.simpleString()
-    return gram(pairs).groupBy().applyInPandas(run, f"a {kind}, b {kind}, weight double")
+    g = gram(pairs).withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lams])))
+    w = g.groupBy("lam").applyInPandas(run, f"a {kind}, b {kind}, weight double, lam double")
+    s = pairs.join(w, pairs["item_id"] == w["a"]).groupBy("lam", "user_id", F.col("b").alias("item_id"))
+    return s.agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+
+
+def mf(rows: DataFrame, rating: str = "rating", rank: int = 32, reg: float = 0.1, iterations: int = 10, seed: int = SEED):
+    """Matrix factorisation of ratings by the distributed alternating least squares; with its squared penalties also the probabilistic form."""
+    from pyspark.ml.recommendation import ALS
+
+    mean = rows.groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")).agg(F.avg(rating).cast("float").alias("r"))
+    return ALS(userCol="user_id", itemCol="item_id", ratingCol="r", rank=rank, regParam=reg, maxIter=iterations, seed=seed, coldStartStrategy="drop").fit(mean)
 
 
 def weighted_scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -214,29 +239,87 @@ def sansa(pairs: DataFrame, lam: float) -> DataFrame:
     return ease(pairs, lam, "column")
 
 
-def bpr(rows: DataFrame, seed: int = SEED, max_pairs: int = 5_000_000, factors: int = BPR["factors"], lr: float = BPR["lr"], reg: float = BPR["reg"], epochs: int = BPR["epochs"], batch: int = 1024) -> DataFrame:
-    """Pairwise-ranking factors trained in one task: kind ('user' or 'item'), id, factors. Positives are drawn with replacement, negatives are not rejected."""
-    if (n := rows.count()) > max_pairs:
-        raise ValueError(f"{n} rows are more than {max_pairs}")
+def bpr(rows: DataFrame, seed: int = SEED, factors: int = BPR["factors"], lr: float = BPR["lr"], reg: float = BPR["reg"], epochs: int = BPR["epochs"], batch: int = 256, rounds: int = 4, block_rows: int = 200_000) -> DataFrame:
+    """Factors (kind 'user' or 'item', id, factors) that rank each user's items above others by a logistic loss on score differences.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["user_id", "item_id"])
-        users, u = np.unique(pdf["user_id"], return_inverse=True)
-        items, i = np.unique(pdf["item_id"], return_inverse=True)
-        rng = np.random.default_rng(seed)
-        p, q = rng.normal(0, 0.1, (len(users), factors)), rng.normal(0, 0.1, (len(items), factors))
-        for _ in range(epochs * -(-len(u) // batch)):
-            k = rng.integers(0, len(u), batch)
-            a, b, c = u[k], i[k], rng.integers(0, len(items), batch)
-            x = p[a]
-            g = (1 / (1 + np.exp(np.einsum("ij,ij->i", x, q[b] - q[c]))))[:, None]
-            gu, gi, gj = g * (q[b] - q[c]) - reg * x, g * x - reg * q[b], -g * x - reg * q[c]
-            np.add.at(p, a, lr * gu)
-            np.add.at(q, b, lr * gi)
-            np.add.at(q, c, lr * gj)
-        return pd.DataFrame({"kind": ["user"] * len(users) + ["item"] * len(items), "id": [*users, *items], "factors": [*p, *q]})
-
-    return rows.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
+    Distinct pairs are dealt into blocks of about block_rows, a user's pairs
+    together but for users with more than a quarter of a block, which are cut.
+    In each of `rounds` rounds a block trains its share of the epochs on copies
+    of its factors (AdaGrad; negatives are drawn from the block's items that the
+    user does not have), and copies are averaged, weighted by their pairs. So no
+    task holds more than a block, and one block is plain training. Ids are longs.
+    """
+    pairs = interactions(rows)
+    n = pairs.count()
+    blocks = max(1, -(-n // block_rows))
+    per = pairs.groupBy("user_id").agg((F.floor(F.count("*") / max(1, block_rows // 4)) + 1).alias("cuts"))
+    cut = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.col("cuts"))
+    dealt = pairs.join(per, "user_id").select(F.pmod(F.xxhash64("user_id", cut, F.lit(seed + 1)), F.lit(blocks)).cast("int").alias("block"), "user_id", "item_id")
+    member = dealt.select(F.col("block").alias("of"), F.inline(F.array(F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("id")), F.struct(F.lit("item").alias("kind"), F.col("item_id").alias("id"))))).distinct()
+    schema = "kind string, id long, factors array<double>, pairs long"
+    model = None
+    for turn in range(rounds):
+        local = epochs * (turn + 1) // rounds - epochs * turn // rounds
+        start = member.withColumn("factors", F.lit(None).cast("array<double>")) if model is None else member.join(model, ["kind", "id"], "left")
+        out = dealt.groupBy("block").cogroup(start.groupBy("of")).applyInPandas(_block_trainer(seed + 1000 * turn, local, factors, lr, reg, batch), schema)
+        w = F.col("pairs").cast("double")
+        model = out.groupBy("kind", "id").agg(F.array(*[F.sum(F.col("factors")[k] * w) / F.sum(w) for k in range(factors)]).alias("factors"))
+        if turn + 1 < rounds:
+            model = _cut(model)
+    return model
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir, or as it is where the session has none."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _block_trainer(*settings):
+    """A function of (key, pairs, factors) for cogrouped blocks."""
+
+    def run(key, own, start):
+        return _train_block(own, start, int(key[0]), *settings)
+
+    return run
+
+
+def _train_block(own: pd.DataFrame, start: pd.DataFrame, block: int, seed: int, epochs: int, factors: int, lr: float, reg: float, batch: int) -> pd.DataFrame:
+    """One block's factors after `epochs` passes over its pairs, from the given ones or, where null, from small numbers drawn by id."""
+    table = start.sort_values(["kind", "id"], ascending=[False, True]).reset_index(drop=True)  # users, then items
+    n_users = int((table["kind"] == "user").sum())
+    ids = table["id"].to_numpy()
+    theta = np.stack([np.random.default_rng([abs(int(i)), k < n_users, seed]).normal(0, 0.1, factors) if f is None else np.asarray(f, float) for k, (i, f) in enumerate(zip(ids, table["factors"], strict=True))])
+    u = np.searchsorted(ids[:n_users], own["user_id"].to_numpy())
+    i = n_users + np.searchsorted(ids[n_users:], own["item_id"].to_numpy())
+    order = np.lexsort((i, u))
+    u, i = u[order], i[order]
+    taken = u.astype(np.int64) * len(ids) + i  # sorted
+    rng = np.random.default_rng([block, seed])
+    slope = np.full(len(ids), 1e-8)  # AdaGrad's sum of squares, one number a row
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(len(u)), -(-len(u) // batch)):
+            who, liked = u[part], i[part]
+            other = rng.integers(n_users, len(ids), len(part))
+            again = np.isin(who.astype(np.int64) * len(ids) + other, taken)
+            other[again] = rng.integers(n_users, len(ids), int(again.sum()))
+            gap = theta[liked] - theta[other]
+            pull = 1 / (1 + np.exp(np.clip((theta[who] * gap).sum(1), -30, 30)))
+            # gradient of -log sigmoid + reg / 2 * squares, summed by row through one sparse product
+            row = np.concatenate([who, liked, other])
+            grad = np.concatenate([-pull[:, None] * gap, -pull[:, None] * theta[who], pull[:, None] * theta[who]]) + reg * theta[row]
+            hit, place = np.unique(row, return_inverse=True)
+            by = np.argsort(place, kind="stable")
+            total = np.add.reduceat(grad[by], np.searchsorted(place[by], np.arange(len(hit))), axis=0)
+            slope[hit] += (total * total).mean(1)
+            theta[hit] -= lr * total / np.sqrt(slope[hit])[:, None]
+    weight = np.bincount(np.concatenate([u, i]), minlength=len(ids))
+    return pd.DataFrame({"kind": table["kind"], "id": ids, "factors": list(theta), "pairs": weight})
 
 
 def factor_scores(model: DataFrame) -> DataFrame:
@@ -247,7 +330,7 @@ def factor_scores(model: DataFrame) -> DataFrame:
     return u.crossJoin(i).select("user_id", "item_id", F.round(dot, DIGITS).alias("score"))
 
 
-def item_factors(pairs: DataFrame, dim: int = 32, max_items: int = 20_000) -> DataFrame:
+def item_factors(pairs: DataFrame, dim: int = 32, max_items: int = 8_000) -> DataFrame:
     """item_id, factors: the leading eigenvectors of the gram times the singular values; signs fixed by each one's largest entry."""
     if pairs.select("item_id").distinct().count() > max_items:
         raise ValueError(f"more than {max_items} items")
