@@ -12,8 +12,8 @@ from pyspark.sql.types import DoubleType, StringType
 
 # Generic words of accommodation names, names that stand for a missing one, and type markers, longest first.
 STOPWORDS = (
-    "khach san khachsan hotel hotels khu nghi duong resort resorts spa the and & villa villas homestay guesthouse house inn motel boutique"
-).split()
+    "khach", "san", "khachsan", "hotel", "hotels", "khu", "nghi", "duong", "resort", "resorts", "spa", "the", "and", "&", "villa", "villas", "homestay", "guesthouse", "house", "inn", "motel", "boutique",
+)
 PLACEHOLDERS = ("khong ten", "khong te", "an danh", "no name", "noname", "anonymous", "unknown", "guest", "khach", "user", "n a", "na", "nan", "none", "null", "", "-", "--")
 TYPE_MARKERS = (
     ("khu nghi duong", "resort"), ("guest house", "guesthouse"), ("nha nghi", "guesthouse"), ("khach san", "hotel"), ("biet thu", "villa"), ("can ho", "apartment"),
@@ -185,3 +185,19 @@ def f1(precision: Column, recall: Column) -> Column:
 def percent(part: Column, whole: Column, digits: int = 4) -> Column:
     """100 * part / whole, 0 where the whole is 0."""
     return F.coalesce(F.round(100.0 * part / F.nullif(whole, F.lit(0)), digits), F.lit(0.0))
+
+
+def epoch_seconds(when: Column) -> Column:
+    """Whole seconds since 1970 UTC of a date or a timestamp, whatever its unit; dates are midnights UTC."""
+    return F.unix_seconds(when.cast("timestamp"))
+
+
+def interval_text(mean: Column, lo: Column, hi: Column, digits: int = 4) -> Column:
+    """Such as 0.1291 [0.1065, 0.1529]; null where a part is."""
+    return F.when(mean.isNotNull() & lo.isNotNull() & hi.isNotNull(), F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", mean, lo, hi))
+
+
+def looked_up(key: Column, table: dict[str, str], default: str | None = None) -> Column:
+    """The value of a small table for a key, or the default."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key) if table else F.lit(None)
+    return F.coalesce(found, F.lit(default))

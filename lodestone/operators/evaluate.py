@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as S
+from ..functions import text as T
 from ..settings import CUTOFFS
 
 
@@ -39,6 +44,24 @@ def target_ranks(scores: DataFrame, seen: DataFrame, targets: DataFrame, items:
     return g.select(*by, "user_id", F.col("target").alias("item_id"), rank.cast("long").alias("rank"), "masked")
 
 
+def static_ranks(item_scores: DataFrame, seen: DataFrame, targets: DataFrame, items: DataFrame) -> DataFrame:
+    """target_ranks for scores (item_id, score) that are the same for every user, without a row for each user and item.
+
+    A target's rank is its place among all items less the user's seen items
+    that stand before it. Items without a score have 0. Only seen rows meet
+    users; the items themselves are numbered in one task.
+    """
+    scored = items.select("item_id").distinct().join(item_scores.select("item_id", "score"), "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    place = scored.select("item_id", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")).alias("place"))
+    n_items = place.agg(F.count("*").alias("n_items"))
+    had = seen.select("user_id", "item_id").distinct().join(place, "item_id").select("user_id", F.col("item_id").alias("had"), F.col("place").alias("had_place"))
+    t = targets.select("user_id", F.col("item_id").alias("target")).join(place.withColumnRenamed("item_id", "target"), "target", "left").join(had, "user_id", "left")
+    own = F.col("had") == F.col("target")
+    g = t.groupBy("user_id", "target", "place").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("masked"), F.count("had").alias("n_seen"), F.count_if(F.col("had_place") < F.col("place")).alias("before"), F.count_if(F.col("had") < F.col("target")).alias("seen_before"))
+    rank = F.when(F.col("masked"), F.col("n_items") - F.col("n_seen") + 1 + F.col("seen_before")).otherwise(F.col("place") - F.col("before"))
+    return g.crossJoin(n_items).select("user_id", F.col("target").alias("item_id"), rank.cast("long").alias("rank"), "masked")  # n_items has one row
+
+
 def per_user(ranks: DataFrame, ks: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """ranks with mrr and, for each cutoff, hit, map, ndcg, p and r."""
     cols = {"mrr": 1.0 / F.col("rank")}
@@ -82,6 +105,50 @@ def best_setting(results: DataFrame, metric: str, order: str) -> DataFrame:
     return results.orderBy(F.desc(metric), order).limit(1)
 
 
+def chosen(results: DataFrame, setting: str, metric: str = "r_10") -> DataFrame:
+    """One row (setting): the setting of the greatest metric, rounded as it is, in a grid's results; of equal ones the first in order."""
+    best = F.min(F.struct((-F.col(metric)).alias("m"), F.col(setting).alias("s")))
+    return results.agg(best.alias("x")).select(F.col("x.s").alias(setting))
+
+
+def tuned(val_ranks: DataFrame, scores: Callable[[DataFrame], DataFrame], test_ranks: Callable[[DataFrame], DataFrame], setting: str, metric: str = "r_10") -> DataFrame:
+    """Chosen on the val fold, tested once: the setting and the test metrics of its scores.
+
+    val_ranks: ranks of all settings on the val fold; scores: the scores of the
+    one setting, from a frame of one row; test_ranks: ranks of scores on the
+    test fold. No other setting meets the test fold.
+    """
+    best = chosen(metrics(val_ranks, [setting]), setting, metric)
+    return best.crossJoin(metrics(test_ranks(scores(best))))  # one row each
+
+
+def sweep_by_history(ranks: DataFrame, rows: DataFrame, setting: str, k: int = 10) -> DataFrame:
+    """setting, bucket, n_users, recall: the grid's ranks by the number of the user's train rows; empty buckets do not appear."""
+    n = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    d = per_user(ranks, (k,)).join(n, "user_id", "left").withColumn("bucket", bucket(F.coalesce("n", F.lit(0))))
+    return d.groupBy(setting, "bucket").agg(F.count("*").alias("n_users"), F.round(F.avg(f"r_{k}"), 4).alias("recall"))
+
+
+def best_settings(sweep: DataFrame, setting: str, bucket_: str, n: int = 8) -> DataFrame:
+    """The n settings of the greatest recall in one bucket, then over all users: setting, bucket_recall, recall."""
+    total = F.sum(F.col("recall") * F.col("n_users")) / F.sum("n_users")
+    g = sweep.groupBy(setting).agg(F.max(F.when(F.col("bucket") == bucket_, F.col("recall"))).alias("bucket_recall"), F.round(total, 4).alias("recall"))
+    return g.orderBy(F.desc_nulls_last("bucket_recall"), F.desc("recall"), setting).limit(n)
+
+
+def pairwise(ranks: dict[str, DataFrame], against: str, metric: str = "mrr") -> DataFrame:
+    """method, against, n_pos, n_neg, n_zero, statistic, p, mean_diff: the signed-rank test of every other method against one."""
+    both = [paired(r, ranks[against], metric).withColumn("method", F.lit(m)) for m, r in ranks.items() if m != against]
+    return S.wilcoxon(reduce(DataFrame.unionByName, both), "method", "a", "b").withColumn("against", F.lit(against))
+
+
+def interval_table(ranks: dict[str, DataFrame], metric: str = "r_10", **options) -> DataFrame:
+    """method, mean, lo, hi, n, text: bootstrap intervals of a metric's mean for each method, and as text such as 0.1291 [0.1065, 0.1529]."""
+    every = reduce(DataFrame.unionByName, [per_user(r).select("user_id", F.col(metric).alias("value"), F.lit(m).alias("method")) for m, r in ranks.items()])
+    ci = S.bootstrap_ci(every, "method", "value", order="user_id", **options)
+    return ci.withColumn("text", T.interval_text(F.col("mean"), F.col("lo"), F.col("hi")))
+
+
 def paired(a: DataFrame, b: DataFrame, metric: str, ks: tuple[int, ...] = CUTOFFS) -> DataFrame:
     """user_id, a, b: one metric of two rankings for the users of both."""
     pick = lambda d, name: per_user(d, ks).select("user_id", F.col(metric).alias(name))

@@ -68,17 +68,42 @@ def policy(name: Column, collides: Column, which: str) -> Column:
     return rules[which]
 
 
-def sensitivity(df: DataFrame, name: str = "CustomerName", hotel: str = "hotel_key", k: int = MIN_INTERACTIONS, **columns) -> DataFrame:
-    """A row for each policy: rows kept, users, hotels, means, eligible users, sparsity; one scan, rows exploded by policy."""
-    hit = collisions(df, name, **columns).select(name, F.lit(True).alias("_hit"))
-    d = df.join(hit, name, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    kept = F.array_compact(F.array(*[F.when(policy(F.col(name), F.col("_hit"), p), F.lit(p)) for p in POLICIES]))
-    x = d.select(name, hotel, F.explode(kept).alias("policy"))
-    users = x.groupBy("policy", name).agg(F.count("*").alias("c")).groupBy("policy").agg(
-        F.sum("c").alias("n_interactions"), F.count("*").alias("n_users"), F.round(F.avg("c"), 2).alias("mean_per_user"), F.max("c").alias("max_per_user"),
-        F.round(100.0 * F.avg((F.col("c") == 1).cast("double")), 4).alias("single_pct"), F.count_if(F.col("c") >= k).alias("eligible_users"),
+def sensitivity(df: DataFrame, name: str = "CustomerName", hotel: str = "hotel_key", k: int = MIN_INTERACTIONS, date: str = "Date_parsed", place: str = "loc_key") -> DataFrame:
+    """A row for each policy: rows kept, users, hotels, means, eligible users, sparsity.
+
+    Everything comes from one aggregate by name, hotel, day and place, which is
+    dealt once and read again by each part; policies are judged and exploded by
+    name and by (name, hotel), not by row.
+    """
+    cube = df.groupBy(F.col(name).alias("name"), F.col(hotel).alias("hotel"), F.col(date).alias("day"), F.col(place).alias("place")).agg(F.count("*").alias("c"))
+    cities = cube.where("day is not null and c > 0").groupBy("name", "day").agg(F.count_distinct("place").alias("cities"))
+    hit = cities.groupBy("name").agg((F.max("cities") > 1).alias("hit"))
+    judged = cube.groupBy("name").agg(F.sum("c").alias("n")).join(hit, "name", "left")
+    kept = F.array_compact(F.array(*[F.when(policy(F.col("name"), F.coalesce("hit", F.lit(False)), p), F.lit(p)) for p in POLICIES]))
+    judged = judged.select("name", "n", kept.alias("kept"))
+    users = judged.select("n", F.explode("kept").alias("policy")).groupBy("policy").agg(
+        F.sum("n").alias("n_interactions"), F.count("*").alias("n_users"), F.round(F.avg("n"), 2).alias("mean_per_user"), F.max("n").alias("max_per_user"),
+        F.round(100.0 * F.avg((F.col("n") == 1).cast("double")), 4).alias("single_pct"), F.count_if(F.col("n") >= k).alias("eligible_users"),
     )
-    hotels = x.groupBy("policy").agg(F.count_distinct(hotel).alias("n_hotels"))
-    all_ = df.agg(F.count("*").alias("_n"))
-    out = users.join(hotels, "policy").crossJoin(all_)
+    by_hotel = cube.where("c > 0").select("name", "hotel").distinct().join(judged.select("name", "kept"), "name")
+    hotels = by_hotel.select("hotel", F.explode("kept").alias("policy")).groupBy("policy").agg(F.count_distinct("hotel").alias("n_hotels"))
+    all_ = judged.agg(F.sum("n").alias("_n"))
+    out = users.join(hotels, "policy").crossJoin(all_)  # one row
     return out.withColumns({"retained_pct": F.round(100.0 * F.col("n_interactions") / F.col("_n"), 4), "sparsity_pct": F.round(100.0 * (1 - F.col("n_interactions") / (F.col("n_users") * F.col("n_hotels"))), 4)}).drop("_n")
+
+
+def placeholder_removal(df: DataFrame, name: str = "CustomerName") -> DataFrame:
+    """One row: rows and names under placeholders, and what is left without them (rows, names, rows a name)."""
+    per = df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("c")).withColumn("real", ~T.is_placeholder(F.col("name")))
+    part = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("c"))), F.lit(0))
+    real = F.col("real")
+    g = per.agg(part(~real).alias("placeholder_rows"), F.count_if(~real).alias("placeholder_names"), part(real).alias("rows_left"), F.count_if(real).alias("names_left"))
+    return g.withColumn("mean_left", F.round(F.col("rows_left") / F.nullif(F.col("names_left"), F.lit(0)), 4))
+
+
+def histograms(df: DataFrame, name: str = "CustomerName", most_words: int = 5, most_cities: int = 6, **columns) -> DataFrame:
+    """kind, size, names: names by number of words (most_words stands for all above), and colliding names by cities on one day."""
+    words = F.least(F.size(T.name_words(F.col(name))), F.lit(most_words))
+    a = df.select(name).distinct().groupBy(words.alias("size")).agg(F.count("*").alias("names")).withColumn("kind", F.lit("words"))
+    b = collisions(df, name, **columns).groupBy(F.least(F.col("people").cast("int"), F.lit(most_cities)).alias("size")).agg(F.count("*").alias("names")).withColumn("kind", F.lit("cities"))
+    return a.unionByName(b).select("kind", "size", "names")

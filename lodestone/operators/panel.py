@@ -127,6 +127,44 @@ def load_bearing(df: DataFrame, merge: str, positive: Column, contested: Column)
     return df.withColumn("why", why).where(F.col("why") != "")
 
 
+def reason_counts(bearing: DataFrame) -> DataFrame:
+    """why, n: how many rows each combination of reasons holds."""
+    return bearing.groupBy("why").agg(F.count("*").alias("n"))
+
+
+def matcher_report(df: DataFrame, predicted: str, truth: str, weight: str, contested: Column) -> DataFrame:
+    """stratum (null: all), n, labelled, coverage, disputed, positives, predicted, correct, weight_labelled: what stands behind a matcher's score.
+
+    coverage: labelled over all rows; disputed: rows on which raters differ;
+    correct: labelled rows whose prediction is the label; weight_labelled: rows
+    of the pool that the labelled ones stand for.
+    """
+    known = F.col(truth).isNotNull()
+    parts = [
+        F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.round(F.count_if(known) / F.count("*"), 4).alias("coverage"), F.count_if(contested).alias("disputed"),
+        F.count_if(known & (F.col(truth) == 1)).alias("positives"), F.count_if(F.col(predicted)).alias("predicted"), F.count_if(known & (F.col(predicted).cast("int") == F.col(truth))).alias("correct"),
+        F.round(F.sum(F.when(known, F.col(weight)).otherwise(0.0)), 4).alias("weight_labelled"),
+    ]
+    return df.groupingSets([[], [F.col("stratum")]], F.col("stratum")).agg(*parts)
+
+
+def sheet(df: DataFrame, shown: list[str], empty: list[str], kind: str, literals: dict[str, dict[str, str]]) -> DataFrame:
+    """A sheet for annotators: the columns shown, blank answers, and for each literal column the text of the row's kind, '' for others."""
+    texts = {}
+    for c, by_kind in literals.items():
+        text = F.lit("")
+        for k, v in by_kind.items():
+            text = F.when(F.col(kind) == k, v).otherwise(text)
+        texts[c] = text
+    return blind(df.withColumns(texts), [*shown, *texts], empty)
+
+
+def verify_packet(bearing: DataFrame, key: str, shown: list[str], seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The blind packet (verify_id, columns shown, blank answer) and the coordinator's key (verify_id, key, why), in pseudo-random order."""
+    order = shuffled(bearing, key, seed, "verify_id", "V%04d")
+    return blind(order, ["verify_id", *shown], ["answer"]), order.select("verify_id", key, "why")
+
+
 def audit_sample(df: DataFrame, key: str, unanimous_negative: Column, bearing: DataFrame, n: int, seed: int = 59) -> DataFrame:
     """n unanimous negatives that are not load-bearing."""
     return sample(df.where(unanimous_negative).join(bearing.select(key), key, "left_anti"), n, key, seed)

@@ -45,6 +45,22 @@ def duplicate_flags(df: DataFrame, keys: list[str], order: list[str], flag: str
     return df.withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
 
 
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """A join in which no key may repeat on either side: a repeated one stops the query with an error that names it.
+
+    The check rides on the join: each side carries the number of rows of its
+    key, from the same partial aggregation that the join's shuffle would deal.
+    """
+    def checked(df: DataFrame, side: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in on]
+        g = df.groupBy(*on).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+        key = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in on])
+        error = F.raise_error(F.concat(F.lit(f"key repeats on the {side} side: "), key))
+        return g.withColumn(on[0], F.when(F.col("_n") > 1, error.cast(df.schema[on[0]].dataType)).otherwise(F.col(on[0]))).drop("_n")
+
+    return checked(left, "left").join(checked(right, "right"), on, how)
+
+
 def clean(df: DataFrame, keys: list[str], order: list[str], name: str = "CustomerName", rating: str = "Rating_clean", date: str = "Date_parsed") -> DataFrame:
     """Rows with a rating in range, a date, a real name, and not an exact duplicate; near duplicates stay."""
     flagged = duplicate_flags(df, keys, order, "_dup")

@@ -20,10 +20,10 @@ def padded(items, length: int, pad=0):
     return F.concat(F.array_repeat(F.lit(pad).cast("long"), length - F.size(last)), last.cast("array<long>"))
 
 
-def prefixes(df: DataFrame, order: list[str], length: int) -> DataFrame:
-    """user_id, prefix (up to `length` items before), next: one row for each item but a user's first."""
+def prefixes(df: DataFrame, order: list[str], length: int, keep: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """The columns `keep`, prefix (up to `length` items before), next: one row for each item but a user's first."""
     w = Window.partitionBy("user_id").orderBy(*order)
-    d = df.select("user_id", F.collect_list("item_id").over(w.rowsBetween(-length, -1)).alias("prefix"), F.col("item_id").alias("next"))
+    d = df.select(*keep, F.collect_list("item_id").over(w.rowsBetween(-length, -1)).alias("prefix"), F.col("item_id").alias("next"))
     return d.where(F.size("prefix") > 0)
 
 

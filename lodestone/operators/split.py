@@ -80,3 +80,15 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, width: float) ->
 def clipped_counts(df: DataFrame, key: str, most: int) -> DataFrame:
     """rows, keys: how many keys have so many rows, `most` standing for all above."""
     return df.groupBy(key).agg(F.count("*").alias("c")).groupBy(F.least("c", F.lit(most)).cast("int").alias("rows")).agg(F.count("*").alias("keys"))
+
+
+def protocols(df: DataFrame, user: str, order: list[str], key: list[str], k: int = MIN_INTERACTIONS, seed: int = SEED) -> dict[str, DataFrame]:
+    """The folds of both protocols, temporal and random, for an ablation."""
+    return {"temporal": temporal_folds(df, user, order, k), "random": random_folds(df, user, key, k, seed)}
+
+
+def resolution_effect(df: DataFrame, raw: str, resolved: str, user: str) -> DataFrame:
+    """resolution (on, off), n, items, mean_per_item, pairs: the table with items by resolved and by raw key; pairs are distinct user-item pairs."""
+    x = df.select(user, F.inline(F.array(F.struct(F.lit("on").alias("resolution"), F.col(resolved).alias("item")), F.struct(F.lit("off").alias("resolution"), F.col(raw).alias("item")))))
+    g = x.groupBy("resolution", user, "item").agg(F.count("*").alias("c")).groupBy("resolution").agg(F.sum("c").alias("n"), F.count_distinct("item").alias("items"), F.count("*").alias("pairs"))
+    return g.select("resolution", "n", "items", F.round(F.col("n") / F.col("items"), 4).alias("mean_per_item"), "pairs")

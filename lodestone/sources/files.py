@@ -75,10 +75,33 @@ def read_cache(spark: SparkSession, path: str, schema: str, key: str = "id", ord
     return good.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def append_cache(df: DataFrame, path: str) -> None:
+def append_cache(df: DataFrame, path: str, key: str | None = None, schema: str | None = None) -> None:
+    """Append records as JSON lines; with a key and the cache's schema only those whose key it does not hold, so that a repeated call adds nothing."""
+    if key is not None:
+        df = df.dropDuplicates([key])
+        if exists(df.sparkSession, path):
+            df = df.join(read_cache(df.sparkSession, path, schema, key).select(key), key, "left_anti")
     df.write.mode("append").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def find_folder(spark: SparkSession, start: str, wanted: str, levels: int = 4) -> str:
+    """The folder `wanted` in `start` or in the nearest of its parents, `levels` up at most; FileNotFoundError where there is none."""
+    at = start.rstrip("/")
+    for _ in range(levels + 1):
+        if exists(spark, f"{at}/{wanted}"):
+            return f"{at}/{wanted}"
+        if "/" not in at.split("://")[-1]:
+            break
+        at = at.rsplit("/", 1)[0]
+    raise FileNotFoundError(f"no {wanted} in {start} or above")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old rows but for the keys that are new, and the new rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -94,8 +117,10 @@ def first_present(frames: Iterable[DataFrame], key: str, value: str) -> DataFram
 
 
 def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    """A small frame as a Markdown table; nulls are dashes."""
-    rows = df.limit(most).collect()
+    """A small frame as a Markdown table; nulls are dashes. More than `most` rows raise ValueError."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     show = lambda v: "—" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     out = io.StringIO()
     out.write("| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n")
@@ -110,15 +135,16 @@ def write_markdown(sections: dict[str, DataFrame], path: str, digits: int = 4) -
 
 
 def cached_embeddings(df: DataFrame, path: str, text: str, encoder: str, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """df with an `embedding` column, kept as Parquet at path and used again while encoder and number of rows agree."""
-    spark, n = df.sparkSession, df.count()
-    try:
-        old = spark.read.parquet(path)
-        if old.where(F.col("encoder") != encoder).isEmpty() and old.count() == n:
-            return old.drop("encoder")
-    except Exception as e:  # the path does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """df with an `embedding` column, kept as Parquet at path and used again while encoder, texts and number of rows agree.
+
+    Each version has a folder of its own, named by a digest of the encoder and
+    of all texts, so none is overwritten while it may be read.
+    """
+    spark = df.sparkSession
+    n, mix = df.agg(F.count("*"), F.bit_xor(F.xxhash64(text, F.lit(encoder)))).first()
+    path = f"{path.rstrip('/')}/{n}-{(mix or 0) & (2**64 - 1):016x}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path).drop("encoder")
 
     @F.pandas_udf("array<float>")
     def run(t: pd.Series) -> pd.Series:
