@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.pseudonym import pads, pseudonym
 from ..operators import entities, evaluate, identity, panel, quality, rankers, sequences, split
 from ..streaming import events as live
+from ..settings import ALPHA_GRID, RIDGE_GRID
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,14 +281,14 @@ def _docs_tokens_sql(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9à-ỹđ\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)"
 
 
-#: Item texts for the content rankers: the parts whose keys are the items of the events.
-_TFIDF = f"""tok AS (SELECT item, {_docs_tokens_sql('txt')} AS t FROM (SELECT p_partkey AS item, concat(p_name, ' ', p_brand, ' ', lower(p_type)) AS txt FROM part WHERE p_partkey < 100)), nd AS (SELECT count(*) AS n FROM tok),
+#: Item texts for the content rankers: all parts; only the scores meet the items of the events.
+_TFIDF = f"""tok AS (SELECT item, {_docs_tokens_sql('txt')} AS t FROM (SELECT p_partkey AS item, concat(p_name, ' ', p_brand, ' ', lower(p_type)) AS txt FROM part)), nd AS (SELECT count(*) AS n FROM tok),
     term AS (SELECT item, len, term, count(*) AS c FROM (SELECT item, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY ALL), voc AS (SELECT term, sum(c) AS f, count(*) AS df FROM term GROUP BY term ORDER BY f DESC, term LIMIT 4000),
     w AS (SELECT item, term.term AS term, c / CAST(len AS DOUBLE) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS weight FROM term JOIN voc ON term.term = voc.term CROSS JOIN nd)"""
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").cast("int").alias("item"), F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type")).alias("txt"))
+    p = V.table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("item"), F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type")).alias("txt"))
     return rankers.tfidf(p, "item", "txt")
 
 
@@ -299,12 +300,13 @@ def tfidf_item_weights(spark, d):
 _CONTENT = f"""{_TFIDF}, l AS (SELECT item, sqrt(sum(weight * weight)) AS l FROM w GROUP BY item), iw AS (SELECT w.item, term, weight / l AS weight FROM w JOIN l USING (item)),
     rows_ AS (SELECT user_id, item_id FROM f WHERE fold = 'train'), rn AS (SELECT user_id, count(*) AS n FROM rows_ GROUP BY user_id),
     uw0 AS (SELECT r.user_id, term, sum(weight) / max(n) AS weight FROM rows_ r JOIN iw ON r.item_id = iw.item JOIN rn ON rn.user_id = r.user_id GROUP BY 1, 2), ul AS (SELECT user_id, sqrt(sum(weight * weight)) AS l FROM uw0 GROUP BY user_id),
-    uw AS (SELECT uw0.user_id, term, weight / l AS weight FROM uw0 JOIN ul USING (user_id)), cs0 AS (SELECT user_id, item AS item_id, round(sum(uw.weight * iw.weight), 12) AS score FROM uw JOIN iw USING (term) GROUP BY 1, 2),
-    cs AS (SELECT u.user_id, i.item AS item_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT user_id FROM uw) u CROSS JOIN (SELECT DISTINCT item FROM iw) i LEFT JOIN cs0 ON cs0.user_id = u.user_id AND cs0.item_id = i.item)"""
+    uw AS (SELECT uw0.user_id, term, weight / l AS weight FROM uw0 JOIN ul USING (user_id)), cs0 AS (SELECT user_id, item AS item_id, round(sum(uw.weight * iw.weight), 12) AS score FROM uw JOIN iw USING (term) WHERE item IN (SELECT item_id FROM f) GROUP BY 1, 2),
+    cs AS (SELECT u.user_id, i.item AS item_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT user_id FROM uw) u CROSS JOIN (SELECT DISTINCT item FROM iw WHERE item IN (SELECT item_id FROM f)) i LEFT JOIN cs0 ON cs0.user_id = u.user_id AND cs0.item_id = i.item)"""
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.content_scores(_folds(spark, d).where("fold = 'train'"), _weights(spark, d))
+    of_events = _weights(spark, d).join(_items(spark, d).select(F.col("item_id").alias("item")), "item", "left_semi")
+    return rankers.content_scores(_folds(spark, d).where("fold = 'train'"), of_events)
 
 
 @query(f"WITH {_TRAIN}, {_CONTENT} SELECT user_id, CAST(item_id AS INTEGER) AS item_id, round(score, 6) AS score FROM cs")
@@ -358,9 +360,12 @@ _POP = "sd AS (SELECT u.user_id, i.item_id, CAST(coalesce(c.n, 0) AS DOUBLE) AS
 @query(f"WITH {_TRAIN}, {_POP}, {_ranks_sql()} {_metric_sql()}")
 def rank_metrics(spark, d):
     """Popularity ranking of the temporal split on the test fold."""
+    return evaluate.metrics(_pop_ranks(spark, d))
+
+
+def _pop_ranks(spark: SparkSession, d: str) -> DataFrame:
     pairs = _train(spark, d)
-    scores = pairs.select("user_id").distinct().crossJoin(rankers.popularity(pairs))
-    return evaluate.metrics(evaluate.target_ranks(scores, pairs, _targets(spark, d), _items(spark, d)))
+    return evaluate.static_ranks(rankers.popularity(pairs), pairs, _targets(spark, d), _items(spark, d))
 
 
 _KNN_SD = f"{_ITEMKNN}, k0 AS (SELECT user_id, b AS item_id, round(sum(sim), 12) AS score FROM tr JOIN sim ON tr.item_id = sim.a GROUP BY 1, 2), sd AS (SELECT u.user_id, i.item_id, coalesce(k0.score, 0.0) AS score FROM users u CROSS JOIN items i LEFT JOIN k0 USING (user_id, item_id))"
@@ -413,6 +418,106 @@ def hybrid_adaptive_grid(spark, d):
     return evaluate.metrics(evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["setting"], spark.range(1).select(grid.alias("g")).select((F.col("g.n0") * 10 + F.col("g.lo")).alias("setting"))), ["setting"])
 
 
+def _second(sql: str) -> str:
+    """_RANKS under other names, for a second evaluation in one statement."""
+    for old, new in (("sn AS", "sn2 AS"), ("ni AS", "ni2 AS"), ("tgt", "tgt2"), ("a AS (", "a2 AS ("), ("FROM a s", "FROM a2 s"), ("sd s ", "sd2 s "), ("sd ts", "sd2 ts"), ("rk AS", "rk2 AS")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+_TUNED_COLS = _metric_sql("lam", "rk2 CROSS JOIN best")
+
+
+@query(f"""WITH {_TRAIN}, {_BOTH}, sd AS (SELECT lam, user_id, item_id, round(lam * cf + (1 - lam) * coalesce(cb, cf), 12) AS score FROM both_ CROSS JOIN (SELECT unnest([{_GRID}])::DOUBLE AS lam)), {_ranks_sql('val', 'lam')}, gm AS ({_metric_sql('lam')}), best AS (SELECT lam FROM gm ORDER BY r_10 DESC, lam LIMIT 1),
+    sd2 AS (SELECT user_id, item_id, round(lam * cf + (1 - lam) * coalesce(cb, cf), 12) AS score FROM both_ CROSS JOIN best), {_second(_ranks_sql('test'))} {_TUNED_COLS}""")
+def tuned_hybrid(spark, d):
+    """The fixed fusion's weight is chosen on the val fold, and that one weight tested."""
+    both, pairs = _both(spark, d), _train(spark, d)
+    grid = F.explode(F.array(*[F.lit(k / 10) for k in range(11)]))
+    fused = lambda x: x.select("lam", "user_id", "item_id", F.round(rankers.fused(F.col("cf"), F.col("cb"), F.col("lam")), 12).alias("score"))
+    val = evaluate.target_ranks(fused(both.withColumn("lam", grid)), pairs, _targets(spark, d, "val"), _items(spark, d), ["lam"], spark.range(1).select(grid.alias("lam")))
+    return evaluate.tuned(val, lambda best: fused(both.crossJoin(best)), lambda s: evaluate.target_ranks(s, pairs, _targets(spark, d), _items(spark, d)), "lam")
+
+
+_CURVES = [(a, n0, tau) for a in ALPHA_GRID["alpha_min"] for n0 in ALPHA_GRID["n0"] for tau in ALPHA_GRID["tau"]]
+_CURVE_ROWS = ", ".join(f"({k}, {a}::DOUBLE, {n0}::DOUBLE, {tau}::DOUBLE)" for k, (a, n0, tau) in enumerate(_CURVES))
+_CURVE_W = "(lo + (1 - lo) / (1 + exp(-(n - n0) / tau)))"
+
+
+def _curve_scores(spark: SparkSession, d: str, which: DataFrame) -> DataFrame:
+    """Scores of the adaptive curves named by `which` (setting), a frame of few rows."""
+    n = _folds(spark, d).where("fold = 'train'").groupBy("user_id").agg(F.count("*").alias("n"))
+    curves = F.array(*[F.struct(F.lit(k).alias("setting"), F.lit(a).alias("lo"), F.lit(n0).alias("n0"), F.lit(tau).alias("tau")) for k, (a, n0, tau) in enumerate(_CURVES)])
+    g = spark.range(1).select(F.inline(curves)).join(which.hint("broadcast"), "setting", "left_semi")
+    s = _both(spark, d).join(n, "user_id").crossJoin(F.broadcast(g))  # 45 curves at most
+    w = rankers.adaptive_weight(F.col("n"), F.col("n0"), F.col("tau"), F.col("lo"))
+    return s.select("setting", "user_id", "item_id", F.round(rankers.fused(F.col("cf"), F.col("cb"), w), 9).alias("score"))
+
+
+@query(f"""WITH {_TRAIN}, {_BOTH}, hn AS (SELECT user_id, count(*) AS n FROM f WHERE fold = 'train' GROUP BY user_id), grid AS (SELECT * FROM (VALUES {_CURVE_ROWS}) AS v(setting, lo, n0, tau)),
+    sd AS (SELECT setting, both_.user_id, item_id, round({_CURVE_W} * cf + (1 - {_CURVE_W}) * coalesce(cb, cf), 9) AS score FROM both_ JOIN hn ON hn.user_id = both_.user_id CROSS JOIN grid), {_ranks_sql('val', 'setting')}, gm AS ({_metric_sql('setting')}), best AS (SELECT setting FROM gm ORDER BY r_10 DESC, setting LIMIT 1),
+    sd2 AS (SELECT user_id, item_id, score FROM sd JOIN best USING (setting)), {_second(_ranks_sql('test'))} {_metric_sql('setting', 'rk2 CROSS JOIN best')}""")
+def tuned_adaptive(spark, d):
+    """All 45 curves of the adaptive fusion on the val fold; the best is tested once."""
+    pairs = _train(spark, d)
+    every = spark.range(len(_CURVES)).select(F.col("id").cast("int").alias("setting"))
+    val = evaluate.target_ranks(_curve_scores(spark, d, every), pairs, _targets(spark, d, "val"), _items(spark, d), ["setting"], every)
+    return evaluate.tuned(val, lambda best: _curve_scores(spark, d, best), lambda s: evaluate.target_ranks(s, pairs, _targets(spark, d), _items(spark, d)), "setting")
+
+
+@query()
+def tuned_ridge(spark, d):
+    """The closed form's penalty is chosen on the val fold among seven, and that one tested."""
+    pairs = _train(spark, d)
+    lams = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in RIDGE_GRID])).alias("lam"))
+    scores = rankers.ridge_grid(pairs)
+    val = evaluate.target_ranks(scores, pairs, _targets(spark, d, "val"), _items(spark, d), ["lam"], lams)
+    return evaluate.tuned(val, lambda best: scores.join(F.broadcast(best), "lam", "left_semi"), lambda s: evaluate.target_ranks(s, pairs, _targets(spark, d), _items(spark, d)), "lam")
+
+
+_SWEEP = f"""WITH {_TRAIN}, {_BOTH}, sd AS (SELECT lam, user_id, item_id, round(lam * cf + (1 - lam) * coalesce(cb, cf), 12) AS score FROM both_ CROSS JOIN (SELECT unnest([{_GRID}])::DOUBLE AS lam)), {_ranks_sql('val', 'lam')}, hn AS (SELECT user_id, count(*) AS n FROM f WHERE fold = 'train' GROUP BY user_id),
+    sw AS (SELECT lam, CASE WHEN n = 2 THEN '2' WHEN n BETWEEN 3 AND 4 THEN '3-4' WHEN n BETWEEN 5 AND 10 THEN '5-10' ELSE '11+' END AS bucket, count(*) AS n_users, round(avg(CASE WHEN NOT masked AND rank <= 10 THEN 1.0 ELSE 0 END), 4) AS recall FROM rk LEFT JOIN hn USING (user_id) GROUP BY 1, 2)"""
+
+
+@query(f"{_SWEEP} SELECT * FROM sw")
+def lambda_sweep_buckets(spark, d):
+    """Recall of every weight by the length of the user's history."""
+    grid = F.explode(F.array(*[F.lit(k / 10) for k in range(11)]))
+    s = _both(spark, d).withColumn("lam", grid).select("lam", "user_id", "item_id", F.round(rankers.fused(F.col("cf"), F.col("cb"), F.col("lam")), 12).alias("score"))
+    ranks = evaluate.target_ranks(s, _train(spark, d), _targets(spark, d, "val"), _items(spark, d), ["lam"], spark.range(1).select(grid.alias("lam")))
+    return evaluate.sweep_by_history(ranks, _folds(spark, d).where("fold = 'train'"), "lam")
+
+
+@query(f"""{_SWEEP}, g AS (SELECT lam, max(CASE WHEN bucket = '11+' THEN recall END) AS bucket_recall, round(sum(recall * n_users) / sum(n_users), 4) AS recall FROM sw GROUP BY lam)
+    SELECT lam, bucket_recall, recall FROM g ORDER BY bucket_recall DESC NULLS LAST, recall DESC, lam LIMIT 8""")
+def best_sweep_settings(spark, d):
+    return evaluate.best_settings(lambda_sweep_buckets(spark, d), "lam", "11+")
+
+
+_USERKNN_K = """sim AS (SELECT a.user_id AS u, b.user_id AS v, count(*) / sqrt(max(ua.n) * CAST(max(ub.n) AS DOUBLE)) AS sim FROM tr a JOIN tr b ON a.item_id = b.item_id AND a.user_id <> b.user_id JOIN un ua ON ua.user_id = a.user_id JOIN un ub ON ub.user_id = b.user_id GROUP BY 1, 2),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(sim, 12) DESC, v) AS nr FROM sim) WHERE nr <= 200), s AS (SELECT u AS user_id, item_id, round(sum(sim), 12) AS score FROM near JOIN tr ON tr.user_id = near.v GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_TRAIN}, {_USERKNN_K} {_TOP10}")
+def userknn200_top10(spark, d):
+    return _top10(rankers.userknn_neighbours(_train(spark, d), 200), _train(spark, d))
+
+
+@query()
+def wmf_top10(spark, d):
+    """Weighted matrix factorisation, trained and applied by the distributed alternating least squares."""
+    model = rankers.wmf(_folds(spark, d).where("fold = 'train'"), rank=16, iterations=5)
+    pairs = _train(spark, d)
+    every = pairs.select(F.col("user_id").cast("int").alias("user_id")).distinct().crossJoin(pairs.select(F.col("item_id").cast("int").alias("item_id")).distinct())
+    return _top10(model.transform(every).select("user_id", "item_id", F.col("prediction").cast("double").alias("score")), pairs)
+
+
+@query()
+def item_factor_vectors(spark, d):
+    """Item factors from the gram's leading eigenvectors."""
+    return rankers.item_factors(_train(spark, d), 8).select("item_id", F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))
+
+
 @query()
 def ease_scores(spark, d):
     pairs = _train(spark, d)
@@ -468,9 +573,7 @@ _PAIRED = f"""{_TRAIN}, {_KNN_SD}, {_ranks_sql()}, pop AS (SELECT u.user_id, i.i
 @query(f"""WITH {_PAIRED} SELECT 'itemknn vs mostpop' AS test, (SELECT count(*) FROM rr WHERE d > 0) AS n_pos, (SELECT count(*) FROM rr WHERE d < 0) AS n_neg, (SELECT count(*) FROM dd WHERE d = 0) AS n_zero,
     (SELECT round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 1) FROM rr) AS statistic, (SELECT round(avg(d), 6) FROM dd) AS mean_diff""")
 def wilcoxon_counts(spark, d):
-    pairs = _train(spark, d)
-    pop = evaluate.target_ranks(pairs.select("user_id").distinct().crossJoin(rankers.popularity(pairs)), pairs, _targets(spark, d), _items(spark, d))
-    both = evaluate.paired(_knn_ranks(spark, d), pop, "mrr").withColumn("test", F.lit("itemknn vs mostpop"))
+    both = evaluate.paired(_knn_ranks(spark, d), _pop_ranks(spark, d), "mrr").withColumn("test", F.lit("itemknn vs mostpop"))
     return S.wilcoxon(both, "test", "a", "b").select("test", "n_pos", "n_neg", "n_zero", F.round("statistic", 1).alias("statistic"), F.round("mean_diff", 6).alias("mean_diff"))
 
 
@@ -480,6 +583,60 @@ def bootstrap_ci(spark, d):
     return S.bootstrap_ci(m, "method", "r_10", n_boot=2000, order="user_id")
 
 
+# p of the signed-rank test: erfc by a rational approximation whose error is below 2e-7
+_ERFC = "(0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-x * x)"
+
+
+@query(f"""WITH {_PAIRED}, w AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm, CAST(count(*) AS DOUBLE) AS n FROM rr), ti AS (SELECT CAST(coalesce(sum(t * t * t - t), 0) AS DOUBLE) AS tie FROM (SELECT count(*) AS t FROM rr GROUP BY abs(d))),
+    z AS (SELECT CASE WHEN n >= 10 THEN abs(least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) / sqrt(2.0) END AS x FROM w CROSS JOIN ti)
+    SELECT 'itemknn' AS method, 'mostpop' AS against, round((SELECT {_ERFC} FROM (SELECT x, 1 / (1 + 0.3275911 * x) AS t FROM z)), 4) AS p, (SELECT round(avg(d), 6) FROM dd) AS mean_diff""")
+def pairwise_tests(spark, d):
+    t = evaluate.pairwise({"itemknn": _knn_ranks(spark, d), "mostpop": _pop_ranks(spark, d)}, "mostpop")
+    return t.select("method", "against", F.round("p", 4).alias("p"), F.round("mean_diff", 6).alias("mean_diff"))
+
+
+@query()
+def method_ci_table(spark, d):
+    """Bootstrap intervals of two methods as a table, with the interval as text."""
+    return evaluate.interval_table({"itemknn": _knn_ranks(spark, d), "mostpop": _pop_ranks(spark, d)}, n_boot=2000)
+
+
+_POP_OF = """tr{x} AS (SELECT DISTINCT user_id, item_id FROM f{x} WHERE fold = 'train'), it{x} AS (SELECT DISTINCT item_id FROM f{x}), pl{x} AS (SELECT item_id, row_number() OVER (ORDER BY coalesce(n, 0) DESC, item_id) AS place FROM it{x} LEFT JOIN (SELECT item_id, count(*) AS n FROM tr{x} GROUP BY item_id) USING (item_id)),
+    rk{x} AS (SELECT t.user_id, bool_or(s.item_id = t.item_id) AS masked, max(p.place) - count(*) FILTER (WHERE q.place < p.place) AS rank FROM f{x} t JOIN pl{x} p ON p.item_id = t.item_id LEFT JOIN tr{x} s ON s.user_id = t.user_id LEFT JOIN pl{x} q ON q.item_id = s.item_id WHERE t.fold = 'test' GROUP BY t.user_id)"""
+
+
+@query(f"""WITH {_FOLDS}, h AS (SELECT *, md5(concat_ws('|', CAST(event_id AS VARCHAR), '42')) AS h, count(*) OVER (PARTITION BY user_id) AS c FROM ev), hr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, event_id DESC) AS b FROM h WHERE c >= 4), fr AS (SELECT user_id, item_id, CASE b WHEN 1 THEN 'test' WHEN 2 THEN 'val' ELSE 'train' END AS fold FROM hr),
+    {_POP_OF.replace('{x}', '')}, {_POP_OF.replace('{x}', 'r')}
+    SELECT 'temporal' AS protocol, count(*) AS n_users, round(avg(CASE WHEN NOT coalesce(masked, false) AND rank <= 10 THEN 1.0 ELSE 0 END), 4) AS r_10 FROM rk UNION ALL SELECT 'random', count(*), round(avg(CASE WHEN NOT coalesce(masked, false) AND rank <= 10 THEN 1.0 ELSE 0 END), 4) FROM rkr""")
+def protocol_ablation(spark, d):
+    """Popularity under the temporal and under the random protocol."""
+    out = []
+    for name, f in split.protocols(V.interactions(spark, d), "user_id", ["ts", "item_id", "event_id"], ["event_id"]).items():
+        pairs = rankers.interactions(f.where("fold = 'train'"))
+        ranks = evaluate.static_ranks(rankers.popularity(pairs), pairs, f.where("fold = 'test'"), f.select("item_id").distinct())
+        out.append(evaluate.metrics(ranks).select(F.lit(name).alias("protocol"), "n_users", "r_10"))
+    return out[0].unionByName(out[1])
+
+
+@query(f"""WITH {_CLEAN}, x AS (SELECT 'on' AS resolution, CustomerName, {V.key_sql('NameHotel')} AS item FROM clean UNION ALL SELECT 'off', CustomerName, NameHotel FROM clean), g AS (SELECT resolution, CustomerName, item, count(*) AS c FROM x GROUP BY ALL)
+    SELECT resolution, CAST(sum(c) AS BIGINT) AS n, count(DISTINCT item) AS items, round(sum(c) / CAST(count(DISTINCT item) AS DOUBLE), 4) AS mean_per_item, count(*) AS pairs FROM g GROUP BY resolution""")
+def resolution_ablation(spark, d):
+    """The clean table with hotels by canonical key and by raw name."""
+    return split.resolution_effect(_clean(spark, d).withColumn("key", T.canonical_key(F.col("NameHotel"))), "NameHotel", "key", "CustomerName")
+
+
+@query("SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)")
+def labels_one_to_one(spark, d):
+    """A validated join: neither side may repeat an id."""
+    return quality.one_to_one(V.table(spark, d, "labels").select("doc_id", "quality"), V.table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], "inner")
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, CAST(floor(epoch(CAST(CAST(ts AS DATE) AS TIMESTAMP))) AS BIGINT) AS day_seconds FROM events")
+def epoch_seconds(spark, d):
+    ev = V.table(spark, d, "events")
+    return ev.select("event_id", T.epoch_seconds(F.col("ts")).alias("seconds"), T.epoch_seconds(F.col("ts").cast("date")).alias("day_seconds"))
+
+
 _RATERS = "r AS (SELECT doc_id, quality AS a, 1 - toxic AS b, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE quality END AS c FROM labels)"
 
 
@@ -547,6 +704,19 @@ def collision_bound(spark, d):
     return identity.collision_bound(_named(spark, d))
 
 
+@query(f"""WITH {_NAMED}, p AS (SELECT CustomerName AS name, count(*) AS c, {V.placeholder_sql('CustomerName')} AS ph FROM named GROUP BY 1)
+    SELECT CAST(coalesce(sum(c) FILTER (WHERE ph), 0) AS BIGINT) AS placeholder_rows, count(*) FILTER (WHERE ph) AS placeholder_names, CAST(coalesce(sum(c) FILTER (WHERE NOT ph), 0) AS BIGINT) AS rows_left, count(*) FILTER (WHERE NOT ph) AS names_left,
+    round(coalesce(sum(c) FILTER (WHERE NOT ph), 0) / CAST(nullif(count(*) FILTER (WHERE NOT ph), 0) AS DOUBLE), 4) AS mean_left FROM p""")
+def placeholder_removal(spark, d):
+    return identity.placeholder_removal(_named(spark, d))
+
+
+@query(f"""WITH {_COLL} SELECT 'words' AS kind, CAST(least(words, 5) AS INTEGER) AS size, count(*) AS names FROM (SELECT DISTINCT CustomerName, {V.words_sql('CustomerName')} AS words FROM named) GROUP BY 2
+    UNION ALL SELECT 'cities', CAST(least(people, 6) AS INTEGER), count(*) FROM col GROUP BY 2""")
+def name_histograms(spark, d):
+    return identity.histograms(_named(spark, d))
+
+
 _POLICY = f"""{_COLL}, pol AS (SELECT n.CustomerName, hotel_key, {V.placeholder_sql('n.CustomerName')} AS ph, {V.words_sql('n.CustomerName')} AS words, col.people IS NOT NULL AS hit FROM named n LEFT JOIN col ON col.CustomerName = n.CustomerName),
     x AS (SELECT 'all_names' AS policy, CustomerName, hotel_key FROM pol UNION ALL SELECT 'drop_placeholders', CustomerName, hotel_key FROM pol WHERE NOT ph UNION ALL SELECT 'drop_short_le3', CustomerName, hotel_key FROM pol WHERE NOT ph AND length(CustomerName) > 3
     UNION ALL SELECT 'drop_single_token', CustomerName, hotel_key FROM pol WHERE NOT ph AND words >= 2 UNION ALL SELECT 'min_two_tokens_and_no_collision', CustomerName, hotel_key FROM pol WHERE NOT ph AND words >= 2 AND NOT hit),
@@ -562,12 +732,12 @@ def filter_policies(spark, d):
 # ---- pairs, samples, panels ---------------------------------------------------------------------------------------
 
 _PTOK = rf"list_distinct(list_filter(string_split(regexp_replace(lower({V.plain_sql('name')}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> ''))"
-_PAIRS = f"""cat AS (SELECT concat(p_name, ' ', p_brand) AS name, min(p_partkey) AS k FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') GROUP BY 1), tk AS (SELECT k, {_PTOK} AS t FROM cat), ex AS (SELECT k, len(t) AS n, unnest(t) AS token FROM tk),
+_PAIRS = f"""cat AS (SELECT concat(p_name, ' ', p_brand) AS name, min(p_partkey) AS k FROM part GROUP BY 1), tk AS (SELECT k, {_PTOK} AS t FROM cat), ex AS (SELECT k, len(t) AS n, unnest(t) AS token FROM tk),
     pr AS (SELECT a.k AS a, b.k AS b, round(count(*) / CAST(max(a.n) + max(b.n) - count(*) AS DOUBLE), 4) AS jaccard FROM ex a JOIN ex b ON a.token = b.token AND a.k < b.k GROUP BY 1, 2)"""
 
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "part").where("p_type IN ('ECONOMY', 'STANDARD')").groupBy(F.concat("p_name", F.lit(" "), "p_brand").alias("name")).agg(F.min("p_partkey").alias("k"))
+    return V.table(spark, d, "part").groupBy(F.concat("p_name", F.lit(" "), "p_brand").alias("name")).agg(F.min("p_partkey").alias("k"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -639,6 +809,37 @@ def load_bearing(spark, d):
     return panel.load_bearing(_judged(spark, d), "merged", F.col("gold") == 1, (F.col("a") + F.col("b")) % 7 == 0).select("a", "b", "why")
 
 
+@query(f"WITH {_JUDGED} SELECT why, count(*) AS n FROM (SELECT concat_ws('+', CASE WHEN merged THEN 'algo_merge' END, CASE WHEN gold = 1 THEN 'panel_positive' END, CASE WHEN (a + b) % 7 = 0 THEN 'contested' END) AS why FROM jd) WHERE why <> '' GROUP BY 1")
+def load_bearing_counts(spark, d):
+    return panel.reason_counts(load_bearing(spark, d))
+
+
+_LABELLED = "jl AS (SELECT *, CASE WHEN (a + b) % 11 <> 0 THEN gold END AS label FROM jd)"
+
+
+@query(f"""WITH {_JUDGED}, {_LABELLED} SELECT stratum, count(*) AS n, count(label) AS labelled, round(count(label) / CAST(count(*) AS DOUBLE), 4) AS coverage, count(*) FILTER (WHERE (a + b) % 7 = 0) AS disputed, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE merged) AS predicted,
+    count(*) FILTER (WHERE label = merged::INT) AS correct, round(sum(CASE WHEN label IS NOT NULL THEN weight ELSE 0.0 END), 4) AS weight_labelled FROM jl GROUP BY GROUPING SETS ((), (stratum))""")
+def matcher_report(spark, d):
+    """Coverage, disputed rows and correct predictions by stratum, some rows unlabelled."""
+    j = _judged(spark, d).withColumn("label", F.when((F.col("a") + F.col("b")) % 11 != 0, F.col("gold")))
+    return panel.matcher_report(j, "merged", "label", "weight", (F.col("a") + F.col("b")) % 7 == 0)
+
+
+@query(f"""WITH {_JUDGED}, lb AS (SELECT *, concat_ws('|', CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS k, concat_ws('+', CASE WHEN merged THEN 'algo_merge' END, CASE WHEN gold = 1 THEN 'panel_positive' END, CASE WHEN (a + b) % 7 = 0 THEN 'contested' END) AS why FROM jd)
+    SELECT printf('V%04d', row_number() OVER (ORDER BY md5(concat_ws('|', k, '42')), k) - 1) AS verify_id, k, why FROM lb WHERE why <> ''""")
+def verify_key(spark, d):
+    """The coordinator's key of the verification packet."""
+    return panel.verify_packet(load_bearing(spark, d).withColumn("k", F.concat_ws("|", "a", "b")), "k", ["a", "b"])[1]
+
+
+@query("""SELECT doc_id, source, lang, CASE lang WHEN 'en' THEN 'Is it English prose?' WHEN 'fr' THEN 'Is it French prose?' ELSE '' END AS question, '' AS answer FROM
+    (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')), doc_id) AS nr FROM documents) WHERE nr <= 5""")
+def annotation_sheet(spark, d):
+    """A sheet of sampled documents with a question by kind and a blank answer."""
+    s = panel.sample_per_group(V.table(spark, d, "documents"), "source", 5, "doc_id")
+    return panel.sheet(s, ["doc_id", "source", "lang"], ["answer"], "lang", {"question": {"en": "Is it English prose?", "fr": "Is it French prose?"}})
+
+
 _LONG = "lb AS (SELECT doc_id, 1 AS annotator, quality AS label FROM labels UNION ALL SELECT doc_id, 2, 1 - toxic FROM labels WHERE doc_id % 4 <> 0)"
 
 
@@ -670,9 +871,8 @@ def criteria_pass_rates(spark, d):
 
 @query(f"WITH {V.EV} SELECT event_id, array_to_string(list(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ',') AS prefix, item_id AS next FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1")
 def prefix_sequences(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, -1)
-    ev = V.interactions(spark, d)
-    return ev.select("event_id", F.array_join(F.transform(F.collect_list("item_id").over(w), lambda x: x.cast("string")), ",").alias("prefix"), F.col("item_id").alias("next")).where("prefix <> ''")
+    p = sequences.prefixes(V.interactions(spark, d), ["ts", "event_id"], 5, ("event_id",))
+    return p.withColumn("prefix", F.array_join(F.transform("prefix", lambda x: x.cast("string")), ","))
 
 
 @query(f"WITH {V.EV} SELECT user_id, item_id, lead(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM ev QUALIFY next_id IS NOT NULL")
