@@ -285,3 +285,73 @@ def test_over_seeds(spark):
     cols = {c: [0.1, 0.3] for c in ["mrr", *[f"{m}_{k}" for k in (5, 10) for m in ("map", "ndcg", "p", "r")]]}
     r = evaluate.over_seeds(spark.createDataFrame(pd.DataFrame({"method": ["m", "m"], **cols})), "method").first()
     assert r.mrr == 0.2 and r.mrr_sd == 0.1
+
+
+def test_factors_trained_in_blocks(spark):
+    """Several blocks with averaged copies, one heavy user cut among them: rerun alike, better than chance on pairs left out."""
+    rows = [(u, i) for u in range(60) for i in range(30) if (u % 2) == (i % 2) and (u + i) % 5] + [(100, i) for i in range(0, 30, 2)]
+    df = frame(spark, rows, "user_id long, item_id long")
+    model = lambda d: rankers.factor_scores(rankers.bpr(d, epochs=40, block_rows=200, factors=8)).toPandas().sort_values(["user_id", "item_id"], ignore_index=True)
+    one = model(df)
+    assert one.equals(model(df)) and len(one) == 61 * 30
+    held = one[(one.user_id < 60) & ((one.user_id % 2) == (one.item_id % 2)) & ((one.user_id + one.item_id) % 5 == 0)].score.mean()
+    other = one[(one.user_id < 60) & ((one.user_id % 2) != (one.item_id % 2))].score.mean()
+    assert held > other + 0.3
+
+
+def test_static_ranks_equal_the_general_ones(spark):
+    rng = np.random.default_rng(3)
+    seen = frame(spark, sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 20, 150), rng.integers(0, 15, 150))}), "user_id int, item_id int")
+    items = frame(spark, [(i,) for i in range(18)], "item_id int")  # three that nobody has
+    targets = frame(spark, [(u, int(rng.integers(0, 18))) for u in range(22)], "user_id int, item_id int")  # two users without rows
+    pop = rankers.popularity(seen)
+    users = targets.select("user_id").distinct()
+    want = evaluate.target_ranks(users.crossJoin(pop), seen, targets, items).collect()
+    got = evaluate.static_ranks(pop, seen, targets, items).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and any(r.masked for r in got)
+
+
+def test_one_to_one(spark):
+    a, b = frame(spark, [(1, "x"), (2, "y"), (None, "z")], "k int, a string"), frame(spark, [(1, 10), (3, 30)], "k int, b int")
+    assert sorted(map(str, quality.one_to_one(a, b, ["k"]).collect())) == sorted(map(str, a.join(b, ["k"], "left").collect()))
+    with pytest.raises(Exception, match="key repeats on the right side: 1"):
+        quality.one_to_one(a, b.unionByName(b.limit(1)), ["k"]).collect()
+    with pytest.raises(Exception, match="key repeats on the left side"):
+        quality.one_to_one(a.unionByName(a), b, ["k"]).collect()
+
+
+def test_ridge_grid_matches_dense_algebra(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.random((12, 7)) < 0.4).astype(float)
+    x[:, 0] = 1
+    pairs = frame(spark, [(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "user_id int, item_id int")
+    got = rankers.ridge_grid(pairs, (1.0, 10.0), "column").toPandas()
+    for lam in (1.0, 10.0):
+        p = np.linalg.inv(x.T @ x + lam * np.eye(7))
+        w = -p / np.diag(p)[None, :]
+        np.fill_diagonal(w, 0)
+        for r in got[got.lam == lam].itertuples():
+            assert r.score == pytest.approx((x @ w)[r.user_id, r.item_id], abs=1e-9)
+    with pytest.raises(ValueError):
+        rankers.ridge_grid(pairs, max_items=3)
+
+
+def test_settings_are_chosen_on_val_and_tested_once(spark):
+    val = frame(spark, [(0.0, 1, 5, 20, False), (0.5, 1, 5, 1, False), (1.0, 1, 5, 1, False)], "lam double, user_id int, item_id int, rank long, masked boolean")
+    asked = []
+
+    def scores(best):
+        asked.append(best.collect())
+        return best
+
+    out = evaluate.tuned(val, scores, lambda s: frame(spark, [(1, 7, 2, False)], "user_id int, item_id int, rank long, masked boolean"), "lam").collect()
+    assert [r.lam for r in asked[0]] == [0.5] and len(out) == 1 and out[0].lam == 0.5 and out[0].mrr == 0.5  # of equal ones the first
+    sweep = frame(spark, [(0.1, "2", 4, 0.5), (0.1, "11+", 1, 0.1), (0.2, "2", 4, 0.5), (0.2, "11+", 1, 0.3)], "lam double, bucket string, n_users long, recall double")
+    assert [tuple(r) for r in evaluate.best_settings(sweep, "lam", "2", 1).collect()] == [(0.2, 0.5, 0.46)]
+
+
+def test_verify_packet_is_blind(spark):
+    df = frame(spark, [(f"p{i}", "a", True, "algo_merge") for i in range(5)], "k string, name string, merged boolean, why string")
+    packet, key = panel.verify_packet(df, "k", ["name"])
+    assert packet.columns == ["verify_id", "name", "answer"] and {r.why for r in key.collect()} == {"algo_merge"}
+    assert sorted(r.verify_id for r in packet.collect()) == [f"V{i:04d}" for i in range(5)]

@@ -141,3 +141,34 @@ def test_upserts(spark, tmp_path):
         live.upsert_sink(live.stream(spark, src, schema), out, "k", str(tmp_path / "cp")).awaitTermination(120)
         time.sleep(1)
     assert {r.k: r.v for r in live.latest(spark, out, "k").collect()} == {1: "a", 2: "c"}
+
+
+def test_appending_twice_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "id string, ts int")
+    for _ in range(2):
+        files.append_cache(df, path, "id", "id string, ts int")
+    files.append_cache(spark.createDataFrame([("c", 3), ("b", 9)], "id string, ts int"), path, "id", "id string, ts int")
+    assert sorted((r.id, r.ts) for r in spark.read.json(path).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_embeddings_of_changed_texts_are_worked_out_anew(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc")], "k int, t string")
+    encode = lambda texts: [[float(len(t))] for t in texts]
+    a = files.cached_embeddings(df, str(tmp_path / "e"), "t", "enc", encode)
+    b = files.cached_embeddings(df.withColumn("t", F.lit("abcd")), str(tmp_path / "e"), "t", "enc", encode)
+    assert a.first().embedding == [3.0] and b.first().embedding == [4.0]
+
+
+def test_folders_are_found_upwards(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    assert files.find_folder(spark, str(tmp_path / "x" / "y"), "data") == f"{tmp_path}/data"
+    with pytest.raises(FileNotFoundError):
+        files.find_folder(spark, str(tmp_path / "x"), "nothing-like-this", levels=2)
+
+
+def test_long_frames_are_no_markdown(spark):
+    with pytest.raises(ValueError):
+        files.markdown(spark.range(5), most=4)
+    assert files.markdown(spark.range(4), most=4).count("\n") == 6

@@ -77,3 +77,9 @@ def test_small_ones(spark):
         T.f1(F.lit(0.5), F.lit(1.0)).alias("f1"), T.percent(F.lit(1), F.lit(0)).alias("p0"), T.percent(F.lit(1), F.lit(8), 2).alias("p"), T.is_initials(F.lit("Nguyen H. Y.")).alias("i"), F.size(T.name_words(F.lit(" a  b "))).alias("w"),
     ).first()
     assert (r.slug, r.j.label, r.s, r.f0, r.f1, r.p0, r.p, r.i, r.w) == ("a-model-v1-0", 1, "**", None, 0.6667, 0.0, 12.5, True, 2)
+
+
+def test_seconds_intervals_and_lookups(spark):
+    df = spark.createDataFrame([("1970-01-02", 0.5, None), ("1969-12-31", 0.25, 1.0)], "d string, m double, x double")
+    r = df.select(T.epoch_seconds(F.col("d").cast("date")).alias("s"), T.epoch_seconds(F.col("d").cast("timestamp")).alias("t"), T.interval_text(F.col("m"), F.col("m"), F.lit(1.0)).alias("i"), T.interval_text(F.col("m"), F.col("x"), F.lit(1.0)).alias("j"), T.looked_up(F.col("d"), {"1970-01-02": "a"}, "?").alias("l")).collect()
+    assert [(x.s, x.t, x.i, x.j, x.l) for x in r] == [(86400, 86400, "0.5000 [0.5000, 1.0000]", None, "a"), (-86400, -86400, "0.2500 [0.2500, 1.0000]", "0.2500 [1.0000, 1.0000]", "?")]
