@@ -1,10 +1,14 @@
 """WARC archives: writing, reading, and resolution of revisit records.
 
 Only headers are shuffled to find equal payloads: the pages' digests and sizes
-are grouped, the groups of two or more give the original each, and the pages
-learn theirs from a join. Archives are written by Spark's text writer with the
-record separator as line separator, so its commit protocol covers them: a lost
-task is written again and no half file is read. Reading splits the stream at
+are grouped, the groups of two or more give the original each, and a second join
+of headers gives the list of pages that revisit one. Payloads meet that list by
+page id, so the many copies of one payload are not dealt to one task. Archives
+are .warc.gz files, each record a gzip member of its own, so that readers can
+seek to it, behind a warcinfo record. They are written by Spark's text writer,
+whose commit protocol covers them, with an empty gzip member as line separator:
+a lost task is written again and no half file is read. A gzip file is read by
+one task, so records_per_file bounds what a task reads. Reading splits the stream at
 the version line and puts records together by their Content-Length, so payloads
 that hold that line, or blank lines, come back whole and memory holds one batch
 of records.
@@ -12,6 +16,7 @@ of records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -21,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import remove, shared_folder, written
+from .shared import dropped, remove, shared_folder, written
 
 VERSION = "WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,19 +46,25 @@ def revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", html_
     Pages with equal payloads of at least `least` bytes (equal SHA-1 and size):
     the largest id is the response, the others revisit it; rows that repeat its
     id are responses too. Smaller payloads are all responses. A null id is the
-    smallest. An empty table stays empty.
+    smallest. Null htmls are empty payloads; very long ones are hashed whole.
+    Columns of the input that have the names of new ones are renamed input_...
+    An empty table stays empty.
     """
-    if clash := {"payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_uri", "original"} & set(pages.columns):
+    if clash := {"payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_uri", "original", "again_id", "again_digest", "again_bytes"} & set(pages.columns):
         pages = pages.withColumnsRenamed({c: f"input_{c}" for c in clash})
     head = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("uri"), F.octet_length(payload(F.col(html_col))).cast("long").alias("payload_bytes"), F.unhex(F.sha1(payload(F.col(html_col)))).alias("payload_digest"))
     many = head.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("id", "uri")).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
     many = written(many, "warc-originals")
+    alike = ["payload_digest", "payload_bytes"]
+    again = head.join(many, alike).where(~F.col("original.id").eqNullSafe(F.col("id")))
+    again = written(again.select(F.col("id").alias("again_id"), F.col("payload_digest").alias("again_digest"), F.col("payload_bytes").alias("again_bytes"), "original").distinct(), "warc-again")
+    dropped(many)
     own = pages.withColumns({"payload_bytes": F.octet_length(payload(F.col(html_col))).cast("long"), "payload_digest": F.unhex(F.sha1(payload(F.col(html_col))))})
-    joined = own.join(many, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("original").isNotNull() & ~F.col("original.id").eqNullSafe(F.col(id_col))
+    same = F.col(id_col).eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")) & (F.col("payload_bytes") == F.col("again_bytes"))
+    joined = own.join(again, same, "left").drop("again_id", "again_digest", "again_bytes")
     return joined.withColumns({
-        "payload_digest": F.lower(F.hex("payload_digest")), "record_type": F.when(again, "revisit").otherwise("response"),
-        "refers_to": F.when(again, F.col("original.id")), "refers_to_uri": F.when(again, F.col("original.uri")),
+        "payload_digest": F.lower(F.hex("payload_digest")), "record_type": F.when(F.col("original").isNotNull(), "revisit").otherwise("response"),
+        "refers_to": F.col("original.id"), "refers_to_uri": F.col("original.uri"),
     }).drop("original")
 
 
@@ -66,12 +77,12 @@ def _record_id(page: Column) -> Column:
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4000, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> None:
-    """Write what `revisits` returns as gzipped WARC files under `path`, with fresh headers.
+    """Write what `revisits` returns as WARC files under `path`, with fresh headers, each record compressed by itself.
 
     A response holds an HTTP head and the payload, a revisit the HTTP head only.
     White space and control characters in a url are written as %20; a null url
-    has no target header. A file is one gzip stream of records_per_file records
-    at most.
+    has no target header. A file begins with a warcinfo record and has
+    records_per_file records at most. An empty table gives no record.
     """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     again = F.col("record_type") == "revisit"
@@ -84,11 +95,44 @@ def write_archives(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", size.cast("string")), F.lit("\r\n"),
         http, F.when(again, F.lit("")).otherwise(F.coalesce(F.col(html_col), F.lit(""))),
     )
-    resolved.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    info = b"software: lodestone\r\nformat: WARC File Format 1.1\r\n"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for pdf in batches:
+            out = []
+            for value in pdf["value"]:
+                if n % records_per_file == 0:
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"lodestone:{len(value)}:{hashlib.sha1(value).hexdigest()}")
+                    head = f"{VERSION}WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
+                    out.append(gzip.compress(head.encode() + info + b"\r\n\r\n", mtime=0))
+                    n += 1
+                out.append(gzip.compress(value, mtime=0))
+                n += 1
+            yield pd.DataFrame({"value": out})
+
+    if records_per_file < 2:
+        raise ValueError("a file holds a warcinfo record and one record at least")
+    members = resolved.select(F.concat(record, F.lit("\r\n\r\n")).cast("binary").alias("value")).mapInPandas(run, "value binary")
+    # the bytes go through as they are; between members stands one that holds nothing
+    empty = gzip.compress(b"", mtime=0).decode("latin-1")
+    writer = members.select(F.col("value").cast("string")).write.option("lineSep", empty).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file)
+    writer.text(path)
+    _renamed(resolved.sparkSession, path)
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """The committed part files get names that say what they hold, which readers go by."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(fs_path(path)):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(f.getPath(), fs_path(f"{path}/{name.removesuffix('.txt')}.warc.gz"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of gzipped WARC files: type, id, target, date, payload digest (as written), refers_to, payload (of responses).
+    """The records of gzipped WARC files but for their warcinfo: type, id, target, date, payload digest (as written), refers_to, payload (of responses).
 
     A record cut short raises ValueError, as does a response whose payload does
     not have the SHA-1 that its header names.
@@ -98,11 +142,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     mark = VERSION.encode()
 
     def parse(raw: bytes) -> tuple | None:
-        """The record, or None where more of it must follow."""
+        """The record, nothing of a warcinfo record, or None where more must follow."""
         head, gap, rest = raw.partition(b"\r\n\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8").split("\r\n"))}
         if not gap or "content-length" not in fields or len(rest) < int(fields["content-length"]) + 4:
             return None
+        if fields["warc-type"] == "warcinfo":
+            return ()
         block = rest[: int(fields["content-length"])]
         body = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
         digest = fields.get("warc-payload-digest", "")
@@ -122,9 +168,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if not value:  # what stands before the first record
                         continue
                 held = held + mark + value if held else bytes(value)
-                if row := parse(held):
-                    out.append(row)
+                row = parse(held)
+                if row is not None:
                     held = b""
+                if row:
+                    out.append(row)
             yield pd.DataFrame(out, columns=columns)
         if held:
             raise ValueError(f"{file} ends within a record")
