@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, lowered, union_all, written
+from .shared import LOWER, UPPER, dropped, lowered, union_all, written
 
 
 def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 64, growth: int = 8, carry: bool = False) -> DataFrame:
@@ -25,8 +25,10 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two texts are equal when they are identical after A-Z are lower-cased; null
     counts as empty, so null and empty texts are equal. Of a group the row with
-    the largest id stays; null ids are the smallest. Of rows that repeat both id
-    and text exactly one is kept. An empty table gives an empty result.
+    the largest id stays; null ids are the smallest. Of rows that tie, as they
+    repeat both id and text, exactly one is kept. Very long texts are compared to
+    their last byte. Other columns may have any names. An empty table gives an
+    empty result.
 
     first, growth: bytes of the first digit, and by how much digits widen.
     """
@@ -35,24 +37,27 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     body = lowered(F.col(text_col)).cast("binary")
     bytes_ = F.octet_length(text).cast("long")
     groups = _groups(docs.select(bytes_.alias("n"), F.substring(head, 1, first).alias("digit")), "n")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else [body.alias("body")]
     rows = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), bytes_.alias("n"), body.alias("body"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), bytes_.alias("n"), F.substring(head, 1, first).alias("digit"), F.unhex(F.sha2(body, 256)).alias("sha"), *whole,
     )
-    rows = rows.withColumns({"sha": F.unhex(F.sha2("body", 256)), "digit": F.substring("body", 1, first)})
-    level, width, done, tables = 0, first, [], ["id", "uid", "sha", *(["row"] if carry else [])]
+    level, width, done, scratch, tables = 0, first, [], [groups], ["id", "uid", "sha", *(["row"] if carry else [])]
     rows = rows.join(groups.hint("merge"), ["n", "digit"], "left")
+    if carry:  # one text is dealt, not two
+        rows = rows.withColumn("body", lowered(F.col(f"row.`{text_col}`")).cast("binary"))
     while True:
         live = F.col("label").isNotNull() & (F.col("n") > width)
         rest = F.when(live, F.expr(f"substring(body, {width + 1})"))
         table = written(rows.select(*tables, "label", "size", live.alias("live"), (F.col("n") - width).alias("n"), rest.alias("body")), f"radix{level}")
+        dropped(*scratch)
         done.append(table.where("not live").select(*tables, F.lit(level).alias("level"), "label", "size"))
         left = table.where("live")
         if left.isEmpty():
             break
         level, width = level + 1, width * growth
         left = left.select(*tables, F.col("label").alias("parent"), "n", "body", F.substring("body", 1, width).alias("digit"))
-        rows = left.join(_groups(left.select("parent", "digit"), "parent").hint("merge"), ["parent", "digit"], "left")
+        scratch = [_groups(left.select("parent", "digit"), "parent")]
+        rows = left.join(scratch[0].hint("merge"), ["parent", "digit"], "left")
     ended = union_all(done)
     alone = ended.where("label is null").select(*tables, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     copies = ended.where("label is not null")

@@ -16,10 +16,16 @@ part at once; `trees` repetitions reach the target recall.
   but for those where a quarter of the members may be near the least: they are
   clusters, which branching would only cut into many nodes of the same copies.
 * Clusters, nodes of up to `medium` documents from the second level on, and what
-  still is large after `depth` levels are compared exhaustively in
-  blocks of `block` documents: a task gets two blocks and counts all common
-  shingles by matrix products. It returns no pairs but a forest of the links.
-  Nodes of several trees whose leasts are linked are one cluster.
+  still is large after `depth` levels are compared exhaustively. Nodes of several
+  trees whose leasts are linked are one cluster. A cluster of over `block`
+  documents first meets its centre, `centres` times over: members linked to it
+  are done with each other. Jaccard distance is a metric, so of the others only
+  those within twice the distance can be linked to one that is done; they are
+  compared with these, and all others go on to the next centre. So copies of one
+  text cost their number, not its square. What is left, and smaller clusters, are
+  compared in blocks of `block` documents: a task gets two blocks and counts all
+  common shingles by matrix products. It returns no pairs but a forest of the
+  links.
 
 Candidates are confirmed on full sets: first each document's best candidate,
 then those that still join different components. Documents with equal sets are
@@ -37,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dealt, lowered, sorted_groups, union_all, written
+from .shared import clear, components, dealt, dropped, lowered, sorted_groups, tables, union_all, written
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 POSITIONS, TREE_POSITIONS = 128, 64
@@ -65,7 +71,7 @@ class WordHashes(dict):
 
 def shingle_sets(texts: list[str | None], width: int, known: WordHashes) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, which is lower-cased already; shorter texts are one shingle, texts without words none."""
-    if len(known) > 1_000_000:
+    if len(known) > 250_000:
         known.clear()
     out = []
     for t in texts:
@@ -153,7 +159,7 @@ def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth
     carried = ["digest", "n", "c1", "c2"]
     roots = F.array(*[F.lit(-1 - t).cast("long") for t in range(trees)])
     front = nodes.select(*carried, "sig", F.explode(roots).alias("root")).select(F.explode(_children(F.col("root"), F.col("sig"), branches)).alias("node"), *carried)
-    found, late = [], []
+    found, late, scratch = [], [], []
     for level in range(1, depth + 1):
         many = front.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(*carried)).alias("first")).where("members > 1")
         many = written(many, f"path-nodes{level}").select("node", "members", "first.*")
@@ -164,17 +170,23 @@ def candidates(nodes: DataFrame, similarity: float, trees: int, leaf: int, depth
         found.append(_pairs(small, small, (F.col("a.node") == F.col("b.node")) & (F.col("a.digest") < F.col("b.digest")), similarity))
         large = table.where(F.col("members") > leaf)
         if large.isEmpty():
+            scratch += [many, table]
             break
         found.append(large.where("near and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"), "bits"))
         if level == depth:
             late.append(large.select("first", "digest"))
+            scratch += [many, table]
             break
         shares = written(large.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share")), f"path-shares{level}")
+        scratch += [many, table, shares]
         split = large.join(shares.hint("merge"), "node").withColumn("done", (F.col("share") >= settled) | ((F.col("members") <= medium) & F.lit(level >= 2)))
         late.append(split.where("done").select("first", "digest"))
         front = split.where("not done").select("node", *carried).join(nodes.select("digest", "sig").hint("merge"), "digest")
         front = front.select(F.explode(_children(F.col("node"), F.col("sig"), branches)).alias("node"), *carried)
-    return union_all(found), written(union_all(late).distinct(), "clusters") if late else None
+    clusters = written(union_all(late).distinct(), "clusters") if late else None
+    pairs = written(union_all(found).groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates")
+    dropped(*scratch)
+    return pairs, clusters
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -204,7 +216,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int = 12, leaf: int = 48, depth: int = 8, block: int = 1024, centres: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_key (xxhash64 of the text), n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; the set
@@ -213,14 +225,15 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int
     similarity, and component_id is the smallest id that links reach. kept marks
     one row a component, one with that id. Null, empty and wordless texts have
     no shingles and are linked with nothing, so they are kept. Null ids are the
-    largest. Repeated rows are linked. An empty table stays empty.
+    largest. Repeated rows, and ties in id, are linked, and one of them is kept.
+    Whole texts are read, very long ones too; other columns may have any names.
+    An empty table stays empty.
     """
     percent = round(100 * similarity)
     base = written(signatures(docs, width, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     full = base.where("digest is not null")
     nodes = written(full.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("n", "c1", "c2")], F.min(F.struct("doc_id", "text_key")).alias("who"), F.first("sig").alias("sig")), "set-nodes")
     pairs, clusters = candidates(nodes, similarity, trees, leaf, depth)
-    pairs = written(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates")
     active = pairs.select(F.explode(F.array("a", "b")).alias("digest"))
     if clusters is not None:
         active = active.unionByName(clusters.select("digest"))
@@ -231,15 +244,19 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, trees: int
         sets = written(_sets(docs, wanted, width, id_col, text_col), "active-sets")
         best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
         links = written(_confirm(best, sets, percent), "links")
-        comp = written(components(links), "components")
+        comp = components(links)
         if clusters is not None:
-            links = links.unionByName(written(_clustered(clusters, comp, sets, percent, block), "links"))
-            comp = written(components(links), "components")
+            links = links.unionByName(_clustered(clusters, comp, sets, percent, block, centres))
+            dropped(comp)
+            comp = components(links)
         more = written(_confirm(_apart(pairs.select("a", "b"), comp), sets, percent), "links")
         if not more.isEmpty():
-            comp = written(components(links.unionByName(more)), "components")
+            dropped(comp)
+            comp = components(links.unionByName(more))
+        dropped(sets, pairs, clusters, more)
     named = full.join(comp.select(F.col("node").alias("digest"), "component").hint("merge"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     named = written(named.select("uid", "doc_id", "text_key", "n", "component"), "named")
+    dropped(nodes, wanted)
     least = written(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))).alias("top")), "least")
     out = named.join(least, "component").select("doc_id", "text_key", "n", F.col("top.doc_id").alias("component_id"), (F.col("uid") == F.col("top.uid")).alias("kept"))
     alone = base.where("digest is null").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -253,16 +270,51 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return j.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _clustered(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within clusters, as many as join what links join there."""
+def _clustered(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int, centres: int) -> DataFrame:
+    """Links within clusters, as many as join what links join there: a written table (a, b)."""
     of = comp.select(F.col("node").alias("first"), "component").hint("merge")
     own = clusters.join(of, "first", "left").select(F.coalesce("component", "first").alias("cluster"), "digest").distinct()
     own = written(own, "cluster-rows")
-    per = written(own.groupBy("cluster").agg((F.floor((F.count("*") - 1) / block) + 1).cast("int").alias("blocks")), "cluster-blocks")
-    rows = own.join(per.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest")
-    rows = rows.join(sets.hint("merge"), "digest")
+    count = own.groupBy("cluster").count()
+    few = own.join(count.where(F.col("count") <= block).hint("merge"), "cluster", "left_semi")
+    jobs, found = [few.select(F.col("cluster").alias("name"), F.lit(0).alias("side"), "digest")], []
+    left, scratch = written(own.join(count.where(F.col("count") > block).hint("merge"), "cluster", "left_semi"), "cluster-large"), [own]
+    for turn in range(centres):
+        if left.isEmpty():
+            break
+        scratch.append(left)
+        centre = written(left.groupBy("cluster").agg(F.min_by("digest", F.xxhash64("digest", F.lit(turn))).alias("centre")), "cluster-centres")
+        given = sets.select(F.col("digest").alias("centre"), F.col("items").alias("y")).hint("merge")
+        centre = written(centre.join(given, "centre"), "cluster-centre-sets")
+        both = F.size(F.array_intersect("items", "y"))
+        # members' distances to the centre: within the link's, within twice that, and beyond
+        far = left.join(sets.hint("merge"), "digest").join(centre.hint("merge"), "cluster").select("cluster", "digest", "centre", both.alias("both"), (F.size("items") + F.size("y")).alias("all"))
+        union = F.col("all") - F.col("both")
+        rank = F.when(100 * F.col("both") >= percent * union, 0).when(100 * F.col("both") >= (2 * percent - 100) * union, 1).otherwise(2)
+        seen = written(far.select("cluster", "digest", "centre", rank.alias("rank")), "cluster-ranks")
+        found.append(seen.where("rank = 0 and digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")))
+        ring = seen.where("rank = 1").select("cluster").distinct()
+        met = seen.where("rank < 2").join(ring.hint("merge"), "cluster", "left_semi")
+        jobs.append(met.select(F.xxhash64("cluster", F.lit(turn)).cast("string").cast("binary").alias("name"), F.col("rank").alias("side"), "digest"))
+        left = written(seen.where("rank > 0").select("cluster", "digest"), "cluster-large")
+    scratch.append(left)
+    jobs.append(left.select(F.col("cluster").alias("name"), F.lit(0).alias("side"), "digest"))
+    out = written(union_all([*found, _in_blocks(union_all(jobs), sets, percent, block)]), "links")
+    dropped(*scratch)
+    return out
+
+
+def _in_blocks(jobs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of each job (name): among its rows of side 0, or between those and its rows of side 1 where it has such."""
+    jobs = written(jobs, "block-jobs")
+    per = jobs.groupBy("name").agg(*[(F.floor((F.count_if(F.col("side") == k) - 1) / block) + 1).cast("int").alias(f"blocks{k}") for k in (0, 1)])
+    rows = jobs.join(written(per, "block-counts").hint("merge"), "name")
+    two = F.col("blocks1") > 0
+    mine, other = F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1")), F.when(two & (F.col("side") == 0), F.col("blocks1")).otherwise(F.col("blocks0"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(7)), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    first, second = F.when(two, F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).otherwise(F.least("own", "other")), F.when(two, F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))).otherwise(F.greatest("own", "other"))
+    side = F.when(two, F.col("side")).otherwise(F.when(F.col("own") <= F.col("other"), 0).otherwise(1))
+    rows = rows.select(F.xxhash64("name", first, second).alias("key"), side.alias("side"), "digest").join(sets.hint("merge"), "digest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, over in sorted_groups(batches, 1 << 60):
@@ -323,6 +375,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Rows that repeat both id and text stay or go together; exact dedup goes first.
     """
     key = [F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")]
+    others = tables(docs.sparkSession)
     named = groups(docs, id_col=id_col, text_col=text_col, **options).groupBy(*key).agg(F.bool_or("kept").alias("kept"))
     gone = written(named.where("not kept").drop("kept"), "near-dropped")
+    clear(docs.sparkSession, keep=others | {gone._scratch})
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_key"]), "left_anti")

@@ -50,13 +50,21 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
 
 
+#: Texts on which a tokenizer shows whether it works word by word as `WordIds` takes it to.
+_TRIAL = (
+    "The Quick brown FOX, jumped over 12.5% of it's lazy dogs!! (What?) \"Yes.\" e.g. a-b_c x=1; #tag $5 & |pipe| 'S don't... end.",
+    "Ünïcode naïve ÉCOLE straße ŒUVRE ĳ café, déjà-vu. ¿Qué? «Oui»\n\tLine two:  tabs\tand   spaces\r\nABC123abc", "日本語 текст Ἀθήνα ½ ² ﬁne x\u00a0y 12345678901234567890 " + "longword" * 8,
+)
+
+
 class WordIds(dict):
     """Ids (little-endian bytes) of words, worked out when first asked for.
 
-    The tokenizer must drop white space, lower-case, and set letters apart from
-    other characters, byte-level, as the given one does; then closing
-    punctuation can be set apart from a letter before it, and a word of Latin
-    letters is one piece for the model. Other words go through the whole tokenizer.
+    A tokenizer that drops white space, lower-cases, and sets letters apart from
+    other characters, byte-level, lets closing punctuation be set apart from a
+    letter before it, and takes a word of Latin letters as one piece for the
+    model. Other words go through the whole tokenizer. Where a tokenizer gives
+    other ids on trial texts than these, whole texts go through it.
     """
 
     def __init__(self, path: str):
@@ -67,10 +75,13 @@ class WordIds(dict):
         ends = [self.tok.token_to_id(x + "</w>") for x in (".", "!", "?", ".\"", "!\"", "?\"", ".)", "...", "!!", "??", "?!")]
         self.sentence_end = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.sentence_end[[x for x in ends if x is not None]] = True
+        self.by_word = True
+        whole = [self.tok.encode(t, add_special_tokens=False).ids for t in _TRIAL]
+        self.by_word = all(self.encode(t, b"").tolist() == ids for t, ids in zip(_TRIAL, whole, strict=True))
 
     @staticmethod
     def of_worker(path: str, keep: int) -> WordIds:
-        """The words that earlier tasks of this Python worker have met, if they are `keep` at most."""
+        """The words that earlier tasks of this Python worker have met, cleared beyond `keep` of them."""
         store = sys.modules.setdefault("lodestone_worker_store", ModuleType("lodestone_worker_store"))
         made = store.__dict__.setdefault("word_ids", {})
         if path not in made:
@@ -79,6 +90,7 @@ class WordIds(dict):
             made[path].clear()
         return made[path]
 
+
     def __missing__(self, word: str) -> bytes:
         body = word.rstrip(_CLOSING)
         low = body.lower()
@@ -97,6 +109,8 @@ class WordIds(dict):
 
     def encode(self, text: str | None, end: bytes) -> np.ndarray:
         """Ids of a text, `end` appended; null is empty."""
+        if text and not self.by_word:
+            return np.frombuffer(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() + end, "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, WORDS(text))) + end if text else end, "<u4")
 
 
@@ -147,7 +161,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     return [0, *reversed(cuts)]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20, gap: int = 128, step: int = 32, keep_words: int = 1_200_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20, gap: int = 128, step: int = 32, keep_words: int = 400_000, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids.
 
     Every document has its ids and `end`; each id lies in exactly one piece, and
@@ -155,9 +169,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
     ids is padded to `length` unless n is a power of two. Null and empty texts
     are documents of the one id `end`; equal rows and null ids are packed as
     documents of their own; very long texts run over many sequences. An empty
-    table gives an empty result. Sequence numbers are the partition's number
-    times 2^40 and a count, so a rerun over the same partitions agrees and a
-    lost task is repeated alone; no rows are moved.
+    table gives an empty result; other columns of the input, whatever their
+    names, play no part. Sequence numbers are the partition's number
+    times 2^40 and a count, and cuts follow the order of a partition's rows, so
+    a rerun over the same files agrees and a lost task is repeated alone; no
+    rows are moved. `order` names columns by which the rows of each partition
+    are sorted first, for inputs whose order is not fixed, as after a shuffle.
+
+    chunk: ids worked on at once. Beyond it the last four windows' worth of ids
+    are cut again with what follows, at every size of the input alike.
 
     tokenizer: path of a vocabulary file in tokenizers' format, one that drops
     white space. It must be readable on the executors.
@@ -221,6 +241,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
                     if count >= chunk:
                         yield from settle(False)
         yield from settle(True)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
 
-    narrow = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
+    narrow = (docs.sortWithinPartitions(*order) if order else docs).selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
     return narrow.mapInPandas(run, schema)

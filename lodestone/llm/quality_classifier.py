@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, clear, tables, written
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("log_words", "symbol_share", "bang_share", "pipe_share", "upper_share", "digit_share", "repeat_share", "line_share", "long_words")
@@ -82,24 +82,29 @@ def _moments(table: DataFrame, prior: Column) -> float:
     return float(min(1e6, max(1.0, spread / between))) if between > 1e-12 else 1e6
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", sample: int = 20_000, reject_below: float = 0.5, weight: float = 1.0, carry: bool = False) -> DataFrame:
-    """One row per input row: id, document_score, host_posterior, path_posterior, score, kept; with `carry` also the struct `row`.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", sample: int = 20_000, reject_below: float = 0.5, weight: float = 1.0, tag: bool = False) -> DataFrame:
+    """One row per input row: id, document_score, host_posterior, path_posterior, score, kept; with `tag` also host, path and text_key (xxhash64 of the text).
 
     document_score is the classifier's probability of good quality, score the
     one after the sites' evidence; kept is score >= reject_below. Null and empty
     texts are scored by their features (no words). Null hosts and paths are
-    groups of their own. Repeated rows each count. Without labelled rows of both
-    classes everything scores 1 and is kept. An empty table stays empty.
+    groups of their own; null ids are scored but never labelled. Repeated rows
+    each count; a score of exactly reject_below is kept. Whole texts are read,
+    very long ones too; columns of the input may have any names. Without labelled
+    rows of both classes everything scores 1 and is kept. An empty table stays
+    empty.
 
     sample: most labelled rows that the classifier is fitted on, those with the
-    least hash of their id; site statistics use all documents. weight: of the
+    least hash of their id; site statistics use all documents. Rows above a
+    hash that leaves a little more than `sample` of them are cut off where they
+    lie, so that about as many rows and no more go to the driver. weight: of the
     sites' log odds.
     """
     cols = features(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), *[c.cast("double").alias(k) for k, c in cols.items()], *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), *[c.cast("double").alias(k) for k, c in cols.items()], *([F.xxhash64(text_col).alias("text_key")] if tag else []))
     base = written(base, "quality-features")
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    train = known.join(base.select("id", *FEATURES), "id").orderBy(F.xxhash64("id"), "id", "y", *FEATURES).limit(sample).toPandas()
+    train = training_rows(known.join(base.select("id", *FEATURES), "id"), sample).toPandas()
     if train["y"].nunique() == 2:
         w, b = fit(expand(train[list(FEATURES)].to_numpy(float)), train["y"].to_numpy(float))
         z = F.lit(b)
@@ -108,7 +113,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     else:
         p = F.lit(1.0)
-    scored = base.select("id", "host", "path", p.alias("p"), *(["row"] if carry else []))
+    scored = base.select("id", "host", "path", p.alias("p"), *(["text_key"] if tag else []))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("square"))
     paths = written(paths, "quality-paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "good", "square")])
@@ -129,10 +134,34 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score = F.round(1 / (1 + F.exp(-z)), 9)
     return joined.select(
         F.col("id").alias(id_col), F.round("p", 9).alias("document_score"), F.round("host_posterior", 9).alias("host_posterior"), F.round("path_posterior", 9).alias("path_posterior"),
-        score.alias("score"), (score >= reject_below).alias("kept"), *(["row"] if carry else []),
+        score.alias("score"), (score >= reject_below).alias("kept"), *(["host", "path", "text_key"] if tag else []),
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the classifier keeps, with all columns."""
-    return classify(docs, labels, carry=True, **options).where("kept").select("row.*")
+def training_rows(rows: DataFrame, sample: int) -> DataFrame:
+    """The `sample` rows (id, y, features) with the least hash of their id.
+
+    Their number is known from one count, so a bound on the hash leaves
+    `sample` rows and six standard deviations more; what is ordered, on each
+    executor and on the driver, is those only.
+    """
+    n = rows.count()
+    share = (sample + 6 * sample**0.5) / n if n else 1.0
+    key = F.xxhash64("id", F.lit(11))
+    some = rows if share >= 1 else rows.where(key <= int((2 * share - 1) * 2.0**63))
+    return some.orderBy(key, "id", "y", *FEATURES).limit(sample)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", **options) -> DataFrame:
+    """The rows of `docs` that the classifier keeps, with all columns; cases are as in `classify`.
+
+    Texts are not carried through the classification: the rejected rows' id,
+    text hash, host and path are, and rows alike in these have the same score.
+    """
+    others = tables(docs.sparkSession)
+    scored = classify(docs, labels, id_col, text_col, host_col, path_col, tag=True, **options)
+    gone = scored.where("not kept").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.col("host").alias("__host"), F.col("path").alias("__path")).distinct()
+    gone = written(gone, "quality-rejected")
+    clear(docs.sparkSession, keep=others | {gone._scratch})
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.__id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.__key")) & F.col(f"d.{host_col}").eqNullSafe(F.col("g.__host")) & F.col(f"d.{path_col}").eqNullSafe(F.col("g.__path"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")

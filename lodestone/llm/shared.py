@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Scratch folders of local sessions without spark.checkpoint.dir, and the scratch tables written so far, by application.
+_FOLDERS: dict[str, str] = {}
+_TABLES: dict[str, set[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -26,10 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _FOLDERS:
+            _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="lodestone-")
+        folder = _FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -37,13 +45,38 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """Write `df` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never what an
-    earlier step wrote.
+    earlier step wrote. `dropped` deletes such a table, `clear` all of a session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete scratch tables that `written` returned, once all that was made of them is written itself."""
+    for t in tables:
+        path = getattr(t, "_scratch", None) if t is not None else None
+        if path:
+            spark = t.sparkSession
+            remove(spark, path)
+            _TABLES.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """Paths of this session's scratch tables."""
+    return set(_TABLES.get(spark.sparkContext.applicationId, ()))
+
+
+def clear(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete this session's scratch tables but for `keep`. Results of the operators read some of them, so write those first."""
+    for path in tables(spark) - keep:
+        remove(spark, path)
+        _TABLES[spark.sparkContext.applicationId].discard(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,18 +96,34 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components", limit: int = 60) -> DataFrame:
-    """Connected components of `edges` (a, b): rows (node, component), component the least node.
-
-    Alternating large-star and small-star steps: each is a join-free grouping
-    by node, so the number of rounds grows with the logarithm of the longest
-    chain. A hub's neighbour list is never collected: both steps take the least
-    neighbour by a partial aggregate and join it back. Nodes without an edge do
-    not appear. Raises RuntimeError if `limit` rounds do not suffice.
+    """Connected components of `edges` (a, b), a written table: rows (node, component), component the least node.
+
+    Alternating large-star and small-star steps: each is a grouping by node and
+    a join with its result, so the number of rounds grows with the logarithm of
+    the longest chain. A hub's neighbour list is never collected: both steps take
+    the least neighbour by a partial aggregate and join it back. A node with one
+    neighbour takes no part in the rounds; it gives its neighbour its number,
+    and takes its component from it in the end, in a join of two plain tables
+    that AQE can split where a hub has many of them. Self-links count for
+    nothing; links may repeat and point either way. Nodes without a link do not
+    appear; no links, no rows. Null ends are an error of the caller. Raises
+    RuntimeError if `limit` rounds do not suffice.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(limit):
+    every = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    if every.isEmpty():
+        return every.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ends = every.select("u", "v").unionByName(every.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # leaves: one neighbour only; of two that have each other the larger is the leaf
+    once = ends.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1").select("u", "v")
+    once = written(once, f"{name}-once")
+    mutual = once.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    leaves = written(once.join(mutual.where("u < v"), ["u", "v"], "left_anti").select(F.col("u").alias("leaf"), F.col("v").alias("hub")), f"{name}-leaves")
+    core = every.join(leaves.select(F.col("leaf").alias("u")), "u", "left_anti").join(leaves.select(F.col("leaf").alias("v")), "v", "left_anti")
+    e = written(core.select("u", "v"), name)
+    while not e.isEmpty():
+        limit -= 1
+        if limit < 0:
+            raise RuntimeError("components did not settle")
         # large-star: every larger neighbour of u, and u itself, points to the least of u's neighbourhood
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -84,14 +133,20 @@ def components(edges: DataFrame, name: str = "components", limit: int = 60) -> D
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        if after.groupBy("u").count().where("count > 1").isEmpty() and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            e = after
-            break
+        dropped(e)
         e = after
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+    # core nodes and their roots, then hubs without core links, which are their own
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = written(found, name)
+    members = leaves.select(F.col("leaf").alias("node"), "hub").join(found.select(F.col("node").alias("hub"), "root"), "hub", "left").select("node", F.coalesce("root", "hub").alias("root"))
+    hubs = leaves.select(F.col("hub").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
+    rooted = written(union_all([found, members, hubs]), name)
+    top = written(rooted.groupBy("root").agg(F.min("node").alias("component")), name)
+    out = written(rooted.join(top, "root").select("node", "component"), name)
+    dropped(every, once, leaves, e, found, rooted, top)
+    return out
 
 
 def sorted_groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:

@@ -70,8 +70,8 @@ def test_packing_edges(spark):
 def test_mix_meets_its_targets(spark):
     docs = documents(spark)
     rows = docs.select("doc_id", "text", "source").collect()
-    out = mixing.mix(docs, slots=1 << 14).collect()
-    again = mixing.mix(docs.repartition(7), slots=1 << 14).collect()
+    out = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(7)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(map(key, out)) == sorted(map(key, again)) and len(out) == len(rows)
     size = {}
@@ -94,7 +94,7 @@ def test_mix_meets_its_targets(spark):
 def test_sources_below_a_block_meet_their_targets(spark):
     rows = [(i, "w " * 500, "big") for i in range(40)] + [(100 + i, "a b c", f"small{i:02d}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df, slots=16).toPandas()  # a block has about 1,900 words, the small sources' targets are 6
+    out = mixing.mix(df, block=1900).toPandas()  # the small sources' targets are 6
     small = out[out.doc_id >= 100]
     assert (small.target == 6).all() and (small.taken == 6).all()
     assert abs(out[out.doc_id < 100].taken.sum() - out[out.doc_id < 100].target.iloc[0]) <= 1
@@ -103,9 +103,8 @@ def test_sources_below_a_block_meet_their_targets(spark):
 def test_words_stand_in_the_slots_of_their_blocks(spark):
     rows = [(i, "w " * (1 + i % 7), "a" if i % 10 else f"rare{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    out = mixing.mix(df, slots=100).toPandas()
-    block = mixing.block_size(int(out.taken.sum()), 100, 4096)
-    assert block > 4
+    block = 24
+    out = mixing.mix(df, block=block).toPandas()
     out["source"] = [rows[i][2] for i in out.doc_id]
     used = {}  # slot: sources and words that lie in it, of documents within one slot
     for r in out.itertuples():
@@ -116,7 +115,7 @@ def test_words_stand_in_the_slots_of_their_blocks(spark):
     assert all(len({s for s, _ in x}) == 1 and sum(n for _, n in x) <= block for x in used.values())
     taken = out.groupby("source").taken.sum()
     assert {s: sum(x[0][0] == s for x in used.values()) for s in taken.index} == {s: -(-n // block) for s, n in taken.items()}
-    mixed = [(r.doc_id, r.source) for r in mixing.mixed_documents(df, slots=100).collect()]
+    mixed = [(r.doc_id, r.source) for r in mixing.mixed_documents(df, block=24).collect()]
     want = sorted((slot, i) for r in out.itertuples() for slot, i in ((r.first_from, r.doc_id), (r.second_from, r.doc_id)) if slot == slot)
     assert sorted(i for i, _ in mixed) == sorted(i for _, i in want)
     begins = {}
@@ -127,12 +126,23 @@ def test_words_stand_in_the_slots_of_their_blocks(spark):
 
 def test_mixed_documents_interleave_the_sources(spark):
     df = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(600)], "doc_id long, text string, source string")
-    src = [r.source for r in mixing.mixed_documents(df, weights=(1.0, 1.0), share=1.0).collect()]
+    src = [r.source for r in mixing.mixed_documents(df, weights=(1.0, 1.0), share=1.0, block=10).collect()]
     assert len(src) == 600 and all(abs(src[:n].count("a") - n / 2) <= 8 for n in range(0, 600, 20))
 
 
-def test_blocks_are_bounded_in_words():
-    assert mixing.block_size(6_750_000_000, 1 << 18, 4096) == 4096 and mixing.block_size(1000, 1 << 18, 4096) == 1
+def test_mix_does_not_depend_on_partitions(spark):
+    docs = documents(spark)
+    rows = lambda d: [tuple(map(str, r)) for r in mixing.mixed_documents(d, block=50).select("doc_id", "text", "source").collect()]
+    assert rows(docs) == rows(docs.repartition(9)) == rows(docs.orderBy("text"))
+
+
+def test_points_are_exact_far_out(spark):
+    t = np.array([3, 1])
+    far = [10**15 + k for k in range(1000)]
+    want = [0 if (x * 0x9E3779B97F4A7C15 % 2**64) < 3 * 2**62 else 1 for x in far]
+    point = np.array(far, "u8") * mixing.GOLDEN
+    assert (point >= np.uint64(3 * 2**62)).astype(int).tolist() == want and abs(np.mean(want) - 0.25) < 0.01
+    assert t.sum() == 4
 
 
 def test_water_filling():
@@ -142,7 +152,7 @@ def test_water_filling():
 
 
 def test_schedule_prefixes_are_balanced(spark):
-    t = np.array([5.0, 1.0, 2.0, 2.0])
+    t = np.array([5, 1, 2, 2])
     rows = mixing.schedule(spark, t, 20_000).orderBy("slot").collect()
     src = np.array([r.src for r in rows])
     for n in (10, 100, 1000, 20_000):

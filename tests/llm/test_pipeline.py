@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from .common import documents
+from .common import documents, empty
 
 
 def test_stages_chain(spark, tmp_path):
@@ -26,6 +26,28 @@ def test_stages_chain(spark, tmp_path):
     assert sorted(map(str, run.select(*pick).collect())) == sorted(map(str, now.select(*pick).collect()))
 
 
+def test_results_do_not_depend_on_partitions(spark, tmp_path):
+    """The same pieces whatever the input's files and the number of shuffle partitions."""
+    docs = documents(spark)
+    shutil.copy("/root/testdata/sf0.001/labels.parquet", tmp_path / "labels.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for files, parts in ((1, "4"), (7, "9"), (3, "2")):
+            docs.repartition(files).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            run = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+            found.append(sorted(map(str, run.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_empty_table(spark, tmp_path):
+    shutil.copy("/root/testdata/sf0.001/labels.parquet", tmp_path / "labels.parquet")
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_all_ten_operators_are_registered():
     from lodestone.llm.queries import QUERIES
 
