@@ -23,63 +23,99 @@ thousands of pairs at once, one column of all their tables a step.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, components, dealt, sorted_groups, union_all, written
+from .shared import WORD, components, dealt, dropped, sorted_groups, union_all, written
 
 
-def segments(n: int, edits: int) -> list[tuple[int, int]]:
-    """Start and length of the edits + 1 even segments of n characters; later ones take the rest."""
-    parts = edits + 1
-    size, more = divmod(n, parts)
-    out, at = [], 0
-    for i in range(parts):
-        k = size + (i >= parts - more)
-        out.append((at, k))
-        at += k
-    return out
+#: Base of the polynomial hash modulo 2^64, odd, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=100_000)
-def keys(n: int, role: int, edits: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(role, seed, start, end) of each index row (role 1), probe row (2) or both (3) of a string of n characters; the seed names length and segment.
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    A probe for strings shorter by d looks for segment i of theirs, which starts
-    at p, from max(p - i, p + d - (edits - i)) to min(p + i, p + d + edits - i).
-    Strings too short to be cut all meet under one key.
-    """
-    out = []
-    for d in range(edits + 1):
-        length = n - d
-        if d and not role & 2 or length < 0:
-            break
-        if length <= edits:
-            out.append((role if d == 0 else 2, 0, 0, 0))
-            break
-        for i, (p, k) in enumerate(segments(length, edits)):
-            seed = length * 31 + i + 1
-            if not role & 2:
-                out.append((1, seed, p, p + k))
-                continue
-            low, high = max(p - i, p + d - (edits - i)), min(p + i, p + d + edits - i)
-            for at in range(max(0, low), min(high, n - k) + 1):
-                out.append((role if d == 0 and at == p else 2, seed, at, at + k))
-    return tuple(out)
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1) modulo 2^64, by doubling."""
+    out = np.ones(max(1, n), "u8")
+    done, step = 1, base
+    while done < len(out):
+        more = min(done, len(out) - done)
+        out[done : done + more] = out[:more] * np.uint64(step)
+        done, step = done + more, step * step % (1 << 64)
+    return out
 
-def keyed(s: str, role: int, edits: int, group: int = 0) -> list[tuple[int, int, int, int]]:
-    """(key, role, start, end) of a string's rows; the key is a hash of group, length, segment number and segment."""
-    import xxhash
 
-    wide = s.encode("utf-32-le", "surrogatepass")
-    base = (group * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    return [(xxhash.xxh64_intdigest(wide[4 * at : 4 * end], base ^ seed) - (1 << 63), r, at, end) for r, seed, at, end in keys(len(s), role, edits)]
+def keyed(texts: list[str], roles: np.ndarray, edits: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, key, role, start, end) of all rows of `texts`, as arrays: index rows (role 1), probe rows (2) and both (3).
+
+    A key is a hash of group, length and number of the segment, and segment. A
+    probe for strings shorter by d looks for segment i of theirs, which starts at
+    p, from max(p - i, p + d - (edits - i)) to min(p + i, p + d + edits - i).
+    Strings too short to be cut all meet under one key. Substrings are hashed by
+    differences of a polynomial hash's prefix sums: equal ones have equal
+    hashes, and a chance hit is only a candidate more.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    first = np.cumsum(size) - size
+    sums = np.zeros(len(flat) + 1, "u8")
+    np.cumsum((spread(flat + np.uint64(1))) * powers(_BASE, len(flat)), out=sums[1:])
+    back = powers(_INVERSE, len(flat) + 1)
+    seeds = np.zeros(len(texts), "u8") if groups is None else spread(groups.astype("i8").view("u8"))
+    parts = edits + 1
+    found: list[tuple] = []
+
+    def add(which: np.ndarray, at: np.ndarray, length: np.ndarray, role: np.ndarray, seed: np.ndarray) -> None:
+        start = first[which] + at
+        body = (sums[start + length] - sums[start]) * back[start]
+        key = spread(body ^ spread(seeds[which] + seed.astype("u8") * np.uint64(_BASE)))
+        found.append((which, key.view("i8"), role, at, at + length))
+
+    index, probe = (roles & 1) != 0, (roles & 2) != 0
+    for d in range(parts):
+        n = size - d
+        live = (n >= 0) & (probe if d else index | probe)
+        tiny = np.flatnonzero(live & (n <= edits))
+        # one row under the key of tiny strings, whichever d is the first to reach them
+        tiny = tiny[(d == 0) | (n[tiny] + 1 > edits)]
+        add(tiny, np.zeros(len(tiny), np.int64), np.zeros(len(tiny), np.int64), np.where(d == 0, roles[tiny], 2), np.zeros(len(tiny), np.int64))
+        for i in range(parts):
+            base, more = n // parts, n % parts
+            p = i * base + np.maximum(0, i - (parts - more))
+            k = base + (i >= parts - more)
+            for shift in range(-edits, d + edits + 1):
+                at = p + shift
+                in_window = (at >= np.maximum(p - i, p + d - (edits - i))) & (at <= np.minimum(p + i, p + d + edits - i)) & (at >= 0) & (at + k <= size)
+                own = (d == 0) & (shift == 0)
+                which = np.flatnonzero(live & (n > edits) & ((in_window & probe) | (own & index)))
+                if len(which):
+                    role = np.where(own & index[which], np.where(in_window[which], roles[which], 1), 2)
+                    add(which, at[which], k[which], role, n[which] * 31 + i + 1)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def portions(lines: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The lines in lists of about `most` characters, longer lines by themselves."""
+    held, total = [], 0
+    for x in lines:
+        if held and total + len(x) > most:
+            yield held
+            held, total = [], 0
+        held.append(x)
+        total += len(x)
+    if held:
+        yield held
 
 
 def line_id(line: str) -> bytes:
@@ -98,9 +134,12 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     out = np.zeros(len(a), bool)
     order = np.flatnonzero(ok)
     order = order[np.argsort(np.maximum(la, lb)[order], kind="stable")]
-    for k in range(0, len(order), 4096):
-        part = order[k : k + 4096]
+    k = len(order)
+    while k:  # from the longest, in tables of four million characters or one pair
+        few = min(k, 4096, max(1, (4 << 20) // max(1, int(max(la[order[k - 1]], lb[order[k - 1]])))))
+        part = order[k - few : k]
         out[part] = _band([a[i] for i in part], [b[i] for i in part], la[part], lb[part], edits) <= edits
+        k -= few
     return out
 
 
@@ -245,62 +284,71 @@ def _blocks(big: DataFrame, room: int) -> DataFrame:
     return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("a").alias("h"), "line")
 
 
-def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
-    """doc_id, line_no and line of every line of at least `least` characters; with `short`, of shorter ones with a word in them too."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str, short: bool = False, row_col: str | None = None) -> DataFrame:
+    """doc_id, line_no and line of every line of at least `least` characters, with row_col also `row`; with `short`, of shorter ones with a word in them too."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    split = docs.select(F.col(id_col).alias("doc_id"), *row, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
     long = F.length("line") >= least
     return split.where(long | F.rlike("line", F.lit(WORD)) if short else long)
 
 
 def candidate_pairs(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of line numbers (the first 8 bytes of the line's MD5) that may be within `edits`, and the lines (h, line) in them."""
+    """Pairs (a, b) of line numbers (XXH64 of the line) that may be within `edits`, and the lines (h, line) in them."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                some = {x for t in pdf["text"].iloc[k : k + 512] if isinstance(t, str) for x in t.split("\n") if len(x) >= least}
-                key, ids, roles = [], [], []
-                for s in some:
-                    h = int.from_bytes(line_id(s)[:8], "big", signed=True)
-                    for x, role, _, _ in keyed(s, 3, edits):
-                        key.append(x)
-                        ids.append(h)
-                        roles.append(role)
-                yield pd.DataFrame({"key": np.array(key, "i8"), "h": np.array(ids, "i8"), "role": np.array(roles, "i4")})
+            for some in portions({x for t in pdf["text"] if isinstance(t, str) for x in t.split("\n") if len(x) >= least}):
+                number = np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in some), "u8", len(some)).view("i8")
+                which, key, role, _, _ = keyed(some, np.full(len(some), 3), edits)
+                yield pd.DataFrame({"key": key, "h": number[which], "role": role.astype("i4")})
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (key, h, role, line) of large groups to the keys, within the group, of what the line leaves beside the key's segment, which is rest; the line goes along."""
         for pdf in batches:
-            out = []
-            for key, h, role, s in zip(pdf["key"].tolist(), pdf["h"].tolist(), pdf["role"].tolist(), pdf["line"], strict=True):
-                for x, r, at, end in keyed(s, 3, edits):
-                    if x == key and r == role:
-                        rest = s[:at] + s[end:]
-                        out += [(y, h, s) for y, _, _, _ in keyed(rest, role, edits, key)]
-            yield pd.DataFrame(out, columns=["key", "h", "line"])
+            at_row = 0
+            for lines in portions(pdf["line"]):
+                part = pdf.iloc[at_row : at_row + len(lines)]
+                at_row += len(lines)
+                key, role = part["key"].to_numpy(), part["role"].to_numpy()
+                which, found, kind, at, end = keyed(lines, np.full(len(lines), 3), edits)
+                own = np.flatnonzero((found == key[which]) & (kind == role[which]))
+                which = which[own]
+                rests = [lines[w][:a] + lines[w][e:] for w, a, e in zip(which.tolist(), at[own].tolist(), end[own].tolist(), strict=True)]
+                row, found, _, _, _ = keyed(rests, role[which], edits, key[which])
+                which = which[row]
+                yield pd.DataFrame({"key": found, "h": part["h"].to_numpy()[which], "line": part["line"].to_numpy()[which]})
 
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     met = written(_meet(text.mapInPandas(first, "key long, h long, role int"), crowd), "line-keys")
+    scratch = [met]
     near = met.where("b is not null").select("a", "b").distinct()
     big = met.where("b is null").select("key", F.col("a").alias("h"), "role").distinct()
     # all lines that the following steps need, so that texts are moved once
     need = near.select(F.explode(F.array("a", "b")).alias("h")).unionByName(big.select("h")).distinct()
     lines = text.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least).withColumn("h", _short("line"))
-    texts = written(lines.join(need.hint("merge"), "h", "left_semi").dropDuplicates(["h", "line"]), "line-texts")
+    # repeats go before lines are dealt, so that a line of a third of all rows is a row a task; of two lines of one number both stay
+    once = lines.groupBy("h").agg(F.min("line").alias("x"), F.max("line").alias("y")).join(need.hint("merge"), "h", "left_semi")
+    texts = written(once.select("h", F.explode(F.array_distinct(F.array("x", "y"))).alias("line")), "line-texts")
     found = [near]
     if not big.isEmpty():
         rows = big.join(texts.hint("merge"), "h").select("key", "h", "role", "line").mapInPandas(again, "key long, h long, line string")
         met = written(_compare(rows, edits, room), "line-rests")
+        scratch.append(met)
         while not (left := met.where("b is null")).isEmpty():
             found.append(met.where("b is not null").select("a", "b"))
             met = written(_compare(_blocks(left.select("key", "a", "line").distinct(), room), edits, room), "line-rests")
+            scratch.append(met)
         found.append(met.where("b is not null").select("a", "b"))
-    return written(union_all(found).distinct(), "line-pairs"), texts
+    pairs = written(union_all(found).distinct(), "line-pairs")
+    dropped(*scratch)
+    return pairs, texts
 
 
 def _short(line):
-    """The first 8 bytes of a line's MD5 as a long."""
-    return F.conv(F.substring(F.md5(line), 1, 16), 16, -10).cast("long")
+    """A line's number, XXH64 with seed 42 of its UTF-8."""
+    return F.xxhash64(line)
 
 
 def links(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_col: str) -> DataFrame:
@@ -317,25 +365,28 @@ def links(docs: DataFrame, edits: int, least: int, crowd: int, room: int, text_c
     two = texts.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge")
     sizes = F.abs(F.length("x") - F.length("y")) <= edits
     joined = pairs.join(one, "a").join(two, "b").where(sizes).select("x", "y")
-    return written(joined.mapInPandas(check, "a binary, b binary"), "line-links")
+    out = written(joined.mapInPandas(check, "a binary, b binary"), "line-links")
+    dropped(pairs, texts)
+    return out
 
 
-def occurrences(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """doc_id, line_no, class (MD5 of the class's least line), first (whether it stays), exact (whether an equal line stands before it), short (whether it has under `least` characters)."""
+def occurrences(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False, row_col: str | None = None) -> DataFrame:
+    """doc_id (and `row`, the value of row_col), line_no, class (MD5 of the class's least line), first (whether it stays), exact (whether an equal line stands before it), short (whether it has under `least` characters)."""
     linked = links(docs, edits, least, crowd, room, text_col)
-    own = lines_of(docs, least, id_col, text_col, short).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("id"), (F.length("line") < least).alias("short"))
+    row = ["row"] if row_col else []
+    own = lines_of(docs, least, id_col, text_col, short, row_col).select("doc_id", *row, "line_no", F.unhex(F.md5("line")).alias("id"), (F.length("line") < least).alias("short"))
     if linked.isEmpty():
         named = own.withColumn("class", F.col("id"))
     else:
-        comp = written(components(linked), "line-classes").select(F.col("node").alias("id"), "component")
-        named = own.join(comp.hint("merge"), "id", "left").select("doc_id", "line_no", "id", "short", F.coalesce("component", "id").alias("class"))
+        comp = components(linked).select(F.col("node").alias("id"), "component")
+        named = own.join(comp.hint("merge"), "id", "left").select("doc_id", *row, "line_no", "id", "short", F.coalesce("component", "id").alias("class"))
     named = written(named.withColumn("uid", F.monotonically_increasing_id()), "line-occurrences")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"), F.col("uid").alias("uid"))
     # most classes have one line only: those need no join
     many = written(named.groupBy("class").agg(F.min(order).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-first")
     same = written(named.groupBy("id").agg(F.min(order).alias("same"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-same")
     joined = named.join(many.hint("merge"), "class", "left").join(same.hint("merge"), "id", "left")
-    return joined.select("doc_id", "line_no", "class", F.coalesce(F.col("uid") == F.col("top.uid"), F.lit(True)).alias("first"), F.coalesce(F.col("uid") != F.col("same.uid"), F.lit(False)).alias("exact"), "short")
+    return joined.select("doc_id", *row, "line_no", "class", F.coalesce(F.col("uid") == F.col("top.uid"), F.lit(True)).alias("first"), F.coalesce(F.col("uid") != F.col("same.uid"), F.lit(False)).alias("exact"), "short")
 
 
 def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -348,7 +399,9 @@ def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int =
     number) stays in the whole corpus. n_exact: dropped lines equal to one
     before, n_near: other dropped ones. Null texts have no lines; an empty text
     has one, not judged. Null ids come last; rows that repeat an id are counted
-    together. An empty table gives an empty result.
+    together; of lines that tie in (id, line number) one stays. Whole texts and
+    lines of any length are read; other columns may have any names. An empty
+    table gives an empty result.
     """
     marks = occurrences(docs, edits, least, crowd, room, id_col, text_col, short)
     per = marks.groupBy("doc_id").agg(F.count_if(~F.col("short")).alias("n_long"), F.count_if("short").alias("n_short"), F.count_if(~F.col("first")).alias("n_dropped"), F.count_if(~F.col("first") & F.col("exact")).alias("n_exact"))
@@ -361,9 +414,19 @@ def dedup_report(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int =
 
 
 def drop_lines(docs: DataFrame, edits: int = 2, least: int = 16, crowd: int = 64, room: int = 4096, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """`docs` without the lines that the report counts as dropped; documents keep their rows. Ids must be unique and not null."""
-    gone = occurrences(docs, edits, least, crowd, room, id_col, text_col, short).where("not first").groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("__gone_lines"))
-    joined = docs.join(written(gone, "line-gone"), id_col, "left")
+    """`docs` without the lines that the report counts as dropped; documents keep their rows.
+
+    Rows are known by a number of their own, so null and repeated ids lose their
+    lines like others: of rows that repeat id and text one keeps them. Null texts
+    stay null; a document whose lines all go has an empty text. Other columns,
+    whatever their names, stay as they are. The numbers of a document's dropped
+    lines meet in one row, which is smaller than its text. An empty table stays
+    empty.
+    """
+    row = "__lodestone_row"
+    base = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-documents")
+    gone = occurrences(base, edits, least, crowd, room, id_col, text_col, short, row).where("not first").groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias("__gone_lines"))
+    joined = base.join(written(gone, "line-gone"), row, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone_lines", i))
     text = F.when(F.col("__gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -137,8 +137,11 @@ def test_banded_distance_and_keys_match_dynamic_programming(edits):
     for x, y, ok in zip(a, b, near):
         short, long = sorted((x, y), key=len)
         if ok and x != y:
-            index = {k for k, role, _, _ in line_dedup.keyed(short, 3, edits) if role & 1}
-            assert index & {k for k, role, _, _ in line_dedup.keyed(long, 3, edits) if role & 2}
+            which, key, role, _, _ = line_dedup.keyed([short, long], np.array([1, 2]), edits)
+            assert set(key[which == 0].tolist()) & set(key[which == 1].tolist())
+            which, key, role, at, end = line_dedup.keyed([short, long], np.array([3, 3]), edits)
+            assert set(key[(which == 0) & (role & 1 != 0)].tolist()) & set(key[(which == 1) & (role & 2 != 0)].tolist())
+            assert all(len(set(key[which == w].tolist())) <= (edits + 1) ** 2 * (edits + 1) for w in (0, 1)) and (at <= end).all()
 
 
 @pytest.mark.parametrize("crowd,room", [(64, 4096), (4, 16)])
@@ -211,6 +214,76 @@ def test_drop_lines_leaves_first_occurrences(spark):
     assert out == {1: f"{line}\nshort", 2: "other text that stays in here\nshort"}
 
 
+def test_lines_of_odd_rows(spark):
+    """Null and repeated ids, null texts, clashing names: counted and dropped alike."""
+    line, other = "a line that is long enough to be judged", "another line, quite unlike the first one"
+    rows = [(None, f"{line}\n{other}"), (None, line), (5, f"{other}\n{line}!"), (5, f"{other}\n{line}!"), (7, None), (8, ""), (9, line * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS line", "3 AS class", "4 AS row", "5 AS uid", "6 AS h")
+    report = line_dedup.dedup_report(df)
+    out = line_dedup.drop_lines(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    texts = [r.text for r in out.collect()]
+    assert sorted(t for t in texts if t) == sorted([f"{other}\n{line}!", line * 3000]) and texts.count(None) == 1 and texts.count("") == 4
+    lines = sum(len((t or "").split("\n")) for _, t in rows if t)
+    assert lines - sum(len(t.split("\n")) for t in texts if t) == report.agg(F.sum("n_dropped")).first()[0] == 5
+    assert {r.doc_id: r.n_lines for r in report.collect()} == {None: 3, 5: 4, 7: 0, 8: 1, 9: 1}
+    assert line_dedup.drop_lines(df.limit(0)).count() == 0
+
+
+def test_large_cluster_by_its_centres(spark):
+    """A cluster of many blocks: members near the centre, in its ring, and beyond; links as by brute force."""
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(420):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 6, 8, 11])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t, 4) for _, t in rows]
+    links = Sets()
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links.join(i, j)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(df, width=4, leaf=8, block=32, centres=3).collect()}
+    assert got == {i: links.find(i) for i in range(len(rows))} and len(set(got.values())) > 1
+
+
+def test_null_ids_are_linked(spark):
+    text = prose(random.Random(1), 40)
+    df = spark.createDataFrame([(None, text), (None, text), (4, text + " x"), (9, None), (None, None)], "doc_id long, text string")
+    out = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.groups(df, width=4).collect())
+    assert out == [(-1, -1, True), (-1, 4, False), (-1, 4, False), (4, 4, True), (9, 9, True)]
+
+
+def test_kernels_travel_without_the_package(tmp_path):
+    """What executors unpickle must not import the package: its kernels run in a process that lacks it."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lodestone.llm import license_scan, packing, url_filter, warc  # noqa: F401
+
+    def work():
+        which, key, _, _, _ = line_dedup.keyed(["a line of text", "a line of test"], np.array([3, 3]), 2)
+        near = line_dedup.within(["abc"], ["abd"], 2).tolist()
+        sets = near_dedup.shingle_sets(["a b c d e f"], 4, near_dedup.WordHashes())
+        seg = url_filter.Segmenter({"free": 2.0, "bets": 2.0})
+        found = license_scan.Recogniser(license_scan.SENTENCES, license_scan.RULES).identify("Released under the MIT License.")
+        return len(set(key[which == 0].tolist()) & set(key[which == 1].tolist())) > 0, near, len(sets[0]), seg.split("freebets"), found[0][0], packing.cut_points.__name__
+
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(work))
+    code = "import sys, pickle; from pyspark import cloudpickle; sys.path = [p for p in sys.path if 'repo' not in p and p]; print(pickle.load(open(sys.argv[1], 'rb'))()); assert not any(m.startswith('lodestone') for m in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code, str(tmp_path / "work")], capture_output=True, text=True, cwd=tmp_path, env=env)
+    assert got.returncode == 0, got.stderr
+    assert got.stdout.strip() == "(True, [True], 3, ('free', 'bets'), 'notice:MIT', 'cut_points')"
+
+
 def test_block_links_is_a_forest():
     sets = [np.arange(k, k + 100) for k in (0, 2, 4, 300)]
     names = [bytes([k]) for k in range(4)]
