@@ -260,12 +260,12 @@ class Recogniser:
 
 
 def anchors(sentences: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
-    """Strings of which every known sentence, notice and tag holds one; none where a sentence has no long word."""
+    """Starts of words of which every known sentence, notice and tag holds one; none where a sentence has no long word."""
     out = ["licens", "licenc", "copyright", "rights reserved", "redistribut", "warrant", "permission", "unencumbered", "free software", *(f"{v} {w}" for v in VERBS[1:] for w in ("under", "by", "subject"))]
     for many in sentences.values():
         for t in many:
             plain = normalise(re.sub(r"\([^)]*\)|\[[^\]]*\]|<name>", " . ", t))
-            if not any(a in plain for a in out):
+            if not any(f" {a}" in f" {plain}" for a in out):
                 words = [w for w in plain.split() if len(w) > 3]
                 if not words:
                     return ()
@@ -273,6 +273,19 @@ def anchors(sentences: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def any_start(starts: list[str]) -> str:
+    """A pattern for a word that begins as one of `starts` do, tried letter by letter; between their words anything but letters may stand."""
+    by_word: dict[str, set[str]] = {}
+    for x in starts:
+        word, _, rest = x.partition(" ")
+        by_word.setdefault(word, set()).add(rest)
+    by_letter: dict[str, list[str]] = {}
+    for word, rests in sorted(by_word.items()):
+        more = "" if "" in rests else "[^a-z0-9]+(?:" + "|".join(re.escape(r).replace(r"\ ", "[^a-z0-9]+") for r in sorted(rests)) + ")"
+        by_letter.setdefault(word[0], []).append(re.escape(word[1:]) + more)
+    return "(?<![a-z0-9])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(w)})" for c, w in by_letter.items()) + ")"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict | None = None, rules: tuple | None = None) -> DataFrame:
     """One row per input row: id, licenses (distinct, in order, joined by +; null where none), sentence_ids (joined by ,; null where none), n_known, spans.
 
@@ -286,9 +299,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     are enough, licence). Both replace the built-in ones; notices stay.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    # texts without a trace of a known sentence need not leave the JVM; between words of an anchor anything but letters may stand
-    some = [re.escape(a).replace(r"\ ", "[^a-z0-9]+") for a in anchors(sentences)]
-    any_ = F.rlike(F.lower(F.col(text_col)), F.lit("|".join([*some, "spdx"]))) if some else F.lit(True)
+    # texts without a trace of a known sentence need not leave the JVM
+    some = anchors(sentences)
+    any_ = F.rlike(F.lower(F.col(text_col)), F.lit(any_start([*some, "spdx"]))) if some else F.lit(True)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
