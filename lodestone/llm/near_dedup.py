@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clear, components, dealt, dropped, lowered, sorted_groups, tables, union_all, written
+from .shared import clear, components, dealt, dropped, lowered, released, sorted_groups, tables, union_all, written
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 POSITIONS, TREE_POSITIONS = 128, 64
@@ -120,6 +120,8 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 res.insert(0, "text_key", part["text_key"].to_numpy())
                 res.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield res
+        known = pdf = part = res = None
+        released()
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), lowered(F.col(text_col)).alias("text"))
@@ -199,6 +201,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
                 part = pdf.iloc[k : k + 512]
                 sets = shingle_sets(list(part["text"]), width, known)
                 yield pd.DataFrame({"digest": part["digest"].to_numpy(), "items": [s.view("i8") for s in sets]})
+        known = pdf = part = sets = None
+        released()
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     one = wanted.select("digest", F.col("doc_id").alias("d"), F.col("text_key").alias("k")).hint("merge")

@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .shared import released
+
 WORDS = re.compile(r"[^ \t-\r]+").findall
 #: Cost of a cut within a document, in ids of padding.
 SENTENCE_CUT, HARD_CUT = 2.0, 24.0
@@ -241,9 +243,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
                     if count >= chunk:
                         yield from settle(False)
         yield from settle(True)
-        import pyarrow
-
-        pyarrow.default_memory_pool().release_unused()
+        pdf = None
+        released()
 
     narrow = (docs.sortWithinPartitions(*order) if order else docs).selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
     return narrow.mapInPandas(run, schema)

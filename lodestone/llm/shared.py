@@ -86,6 +86,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released() -> None:
+    """Give what this Python worker has freed back to the system, as it may stay idle beside other tasks for a while."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def lowered(text):
     """A-Z to a-z and nothing else; null becomes the empty string."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
