@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,11 +271,11 @@ def bpr(rows: DataFrame, seed: int = SEED, factors: int = BPR["factors"], lr: fl
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in spark.checkpoint.dir, or as it is where the session has none."""
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; where the session has none it is kept on disk instead, so that it is worked out once."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        return df.persist(StorageLevel.DISK_ONLY)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
@@ -378,7 +379,10 @@ def lightgcn(pairs: DataFrame, dim: int = 32, layers: int = 3, lr: float = 0.05,
     """Graph-propagated factors (kind, id, factors) trained in one task by pairwise ranking, Adam, all layers' mean.
 
     Propagation is linear and symmetric, so the gradient of the start is the
-    propagated gradient of the end. More than max_pairs pairs raise ValueError.
+    propagated gradient of the end. Users' layers are products with items', and
+    items' second next layer is the items' gram times it: so a step costs two
+    products with all pairs (`_Bipartite`), whatever the layers, and only the
+    batch's users are propagated. More than max_pairs pairs raise ValueError.
     """
     if (n := pairs.count()) > max_pairs:
         raise ValueError(f"{n} pairs are more than {max_pairs}")
@@ -387,39 +391,141 @@ def lightgcn(pairs: DataFrame, dim: int = 32, layers: int = 3, lr: float = 0.05,
         pdf = pdf.sort_values(["user_id", "item_id"])
         users, u = np.unique(pdf["user_id"], return_inverse=True)
         items, i = np.unique(pdf["item_id"], return_inverse=True)
-        src, dst = np.r_[u, i + len(users)], np.r_[i + len(users), u]
-        deg = np.bincount(src, minlength=len(users) + len(items)).astype(float)
-        order = np.argsort(dst, kind="stable")
-        src, dst = src[order], dst[order]
-        weight = (1 / np.sqrt(deg[src] * deg[dst]))[:, None]
-        first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
-
-        def spread(x: np.ndarray) -> np.ndarray:
-            total, now = x.copy(), x
-            for _ in range(layers):
-                new = np.zeros_like(x)
-                new[dst[first]] = np.add.reduceat(weight * now[src], first, axis=0)
-                total, now = total + new, new
-            return total / (layers + 1)
+        n_users, n_items = len(users), len(items)
+        graph = _Bipartite(u, i, n_users, n_items)
+
+        def spread(start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Sums of the items' layers but for the last, and of all of them. first: the layer after the start, which comes from the users."""
+            now = [start, first]
+            while len(now) <= layers:
+                now.append(graph.gram(now[-2]))
+            return sum(now[:layers], np.zeros_like(start)), sum(now[: layers + 1], np.zeros_like(start))
 
         rng = np.random.default_rng(seed)
-        e = rng.normal(0, 0.1, (len(deg), dim))
+        e = rng.normal(0, 0.1, (n_users + n_items, dim))
         m, v = np.zeros_like(e), np.zeros_like(e)
+        met = graph.to_items(e[:n_users])
         for step in range(1, epochs * -(-len(u) // batch) + 1):
-            f, g = spread(e), np.zeros_like(e)
+            short, total = spread(e[n_users:], met)
             k = rng.integers(0, len(u), batch)
-            a, b, c = u[k], i[k] + len(users), rng.integers(0, len(items), batch) + len(users)
-            s = (1 / (1 + np.exp(np.einsum("ij,ij->i", f[a], f[b] - f[c]))))[:, None] / batch
-            np.add.at(g, a, -s * (f[b] - f[c]))
-            np.add.at(g, b, -s * f[a])
-            np.add.at(g, c, s * f[a])
-            g = spread(g) + reg * e / len(e)
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            e = e - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        f = spread(e)
-        return pd.DataFrame({"kind": ["user"] * len(users) + ["item"] * len(items), "id": [*users, *items], "factors": list(f)})
-
-    return pairs.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
+            a, b, c = u[k], i[k], rng.integers(0, n_items, batch)
+            near = graph.of(a)
+            fa, gap = (e[a] + near.to_users(short)) / (layers + 1), (total[b] - total[c]) / (layers + 1)
+            s = (1 / (1 + np.exp(np.einsum("ij,ij->i", fa, gap))))[:, None] / batch
+            g = np.zeros_like(short)
+            hit, change = _summed(np.r_[b, c], np.vstack([-s * fa, s * fa]))
+            g[hit] = change
+            own = -s * gap
+            short, total = spread(g, near.to_items(own))
+            who, own = _summed(a, own)
+            rate, root, met = lr / (1 - 0.9**step), np.sqrt(1 - 0.999**step), np.zeros_like(short)
+            for lo, hi, part in graph.parts:  # so that each part stays in the processor's cache
+                g = part.to_users(short)
+                mine = slice(*np.searchsorted(who, [lo, hi]))
+                g[who[mine] - lo] += own[mine]
+                _adam(e[lo:hi], m[lo:hi], v[lo:hi], g / (layers + 1) + reg / len(e) * e[lo:hi], rate, root)
+                met += part.to_items(e[lo:hi])
+            _adam(e[n_users:], m[n_users:], v[n_users:], total / (layers + 1) + reg / len(e) * e[n_users:], rate, root)
+        short, total = spread(e[n_users:], met)
+        f = np.vstack([e[:n_users] + graph.to_users(short), total]) / (layers + 1)
+        return pd.DataFrame({"kind": ["user"] * n_users + ["item"] * n_items, "id": [*users, *items], "factors": list(f)})
+
+    model = pairs.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
+    # dealt, as scores are worked out where users are; cut, as users and items are read apart and would be trained for each
+    return _cut(model.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "id"))
+
+
+def _summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _adam(e: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float, root: float) -> None:
+    """Adam's step in place; rate and root have the corrections of the two means. g is used up."""
+    m *= 0.9
+    m += 0.1 * g
+    v *= 0.999
+    g *= g
+    g *= 0.001
+    v += g
+    np.sqrt(v, out=g)
+    g /= root
+    g += 1e-8
+    np.divide(m, g, out=g)
+    g *= rate
+    e -= g
+
+
+class _Links:
+    """Some users' edges: a matrix, or their items, weights and where each user's begin; every user has an edge."""
+
+    def __init__(self, n_items: int, matrix: np.ndarray | None, item: np.ndarray | None = None, weight: np.ndarray | None = None, first: np.ndarray | None = None):
+        self.n_items, self.matrix, self.item, self.weight, self.first = n_items, matrix, item, weight, first
+
+    def to_users(self, y: np.ndarray) -> np.ndarray:
+        """The users' weighted sums of their items' rows."""
+        if self.matrix is not None:
+            return self.matrix @ y
+        return np.add.reduceat(self.weight * y[self.item], self.first, axis=0)
+
+    def to_items(self, x: np.ndarray) -> np.ndarray:
+        """The items' weighted sums of their users' rows."""
+        if self.matrix is not None:
+            return self.matrix.T @ x
+        row = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(self.item)]))
+        hit, total = _summed(self.item, self.weight * x[row])
+        out = np.zeros((self.n_items, x.shape[1]))
+        out[hit] = total
+        return out
+
+
+class _Bipartite:
+    """The user-item graph, edges weighted 1 / sqrt(degree * degree), u sorted; every user and item has an edge.
+
+    Where an eighth or more of all pairs are edges they are a matrix, else they
+    are gathered and summed by row. parts: users from, to, and their edges.
+    """
+
+    def __init__(self, u: np.ndarray, i: np.ndarray, n_users: int, n_items: int, block: int = 2048, block_edges: int = 131_072, max_gram: int = 2_000):
+        self.n_items, self.item = n_items, i
+        self.weight = (1 / np.sqrt(np.bincount(u).astype(float)[u] * np.bincount(i)[i]))[:, None]
+        self.first = np.searchsorted(u, np.arange(n_users + 1))
+        self.matrix = self._gram = None
+        if 8 * len(u) >= n_users * n_items:
+            self.matrix = np.zeros((n_users, n_items))
+            np.add.at(self.matrix, (u, i), self.weight[:, 0])
+            if n_items <= max_gram:
+                self._gram = self.matrix.T @ self.matrix
+        cuts = np.unique(np.r_[np.arange(0, n_users, block), u[np.arange(0, len(u), block_edges)], n_users]).tolist()
+        self.parts = [(lo, hi, self._range(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _range(self, lo: int, hi: int) -> _Links:
+        if self.matrix is not None:
+            return _Links(self.n_items, self.matrix[lo:hi])
+        at = slice(self.first[lo], self.first[hi])
+        return _Links(self.n_items, None, self.item[at], self.weight[at], self.first[lo:hi] - self.first[lo])
+
+    def of(self, users: np.ndarray) -> _Links:
+        """The edges of these users, who may repeat."""
+        if self.matrix is not None:
+            return _Links(self.n_items, self.matrix[users])
+        n = self.first[users + 1] - self.first[users]
+        start = np.cumsum(n) - n
+        at = np.repeat(self.first[users] - start, n) + np.arange(n.sum())
+        return _Links(self.n_items, None, self.item[at], self.weight[at], start)
+
+    def to_users(self, y: np.ndarray) -> np.ndarray:
+        return np.vstack([part.to_users(y) for _, _, part in self.parts])
+
+    def to_items(self, x: np.ndarray) -> np.ndarray:
+        return sum(part.to_items(x[lo:hi]) for lo, hi, part in self.parts)
+
+    def gram(self, y: np.ndarray) -> np.ndarray:
+        """To the users and back."""
+        return sum(part.to_items(part.to_users(y)) for _, _, part in self.parts) if self._gram is None else self._gram @ y
 
 
 def item_texts(items: DataFrame, content: DataFrame, key: str, parts: list[str]) -> DataFrame:

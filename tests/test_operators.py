@@ -270,6 +270,45 @@ def test_trained_factors_rank_better_than_chance(spark):
     assert len(f) == 20 and len(f.factors[0]) == 4
 
 
+def plain_lightgcn(pairs, dim, layers, lr, reg, epochs, batch, seed):
+    """The same training with every propagation written out: all layers of all nodes, forwards and backwards."""
+    u, i = np.array(sorted(pairs)).T
+    users, u = np.unique(u, return_inverse=True)
+    items, i = np.unique(i, return_inverse=True)
+    a = np.zeros((len(users) + len(items),) * 2)
+    a[u, i + len(users)] = a[i + len(users), u] = 1
+    a /= np.sqrt(np.outer(a.sum(0), a.sum(0)))
+    p = sum(np.linalg.matrix_power(a, k) for k in range(layers + 1)) / (layers + 1)
+    rng = np.random.default_rng(seed)
+    e = rng.normal(0, 0.1, (len(p), dim))
+    m, v = np.zeros_like(e), np.zeros_like(e)
+    for step in range(1, epochs * -(-len(u) // batch) + 1):
+        k = rng.integers(0, len(u), batch)
+        x, y, z = u[k], i[k] + len(users), rng.integers(0, len(items), batch) + len(users)
+        f, g = p @ e, np.zeros_like(e)
+        s = (1 / (1 + np.exp((f[x] * (f[y] - f[z])).sum(1))))[:, None] / batch
+        np.add.at(g, x, -s * (f[y] - f[z]))
+        np.add.at(g, y, -s * f[x])
+        np.add.at(g, z, s * f[x])
+        g = p @ g + reg * e / len(e)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        e = e - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return {**{("user", int(k)): r for k, r in zip(users, p @ e)}, **{("item", int(k)): r for k, r in zip(items, (p @ e)[len(users):])}}
+
+
+def test_lightgcn_equals_plain_propagation_and_trains_once(spark):
+    rng = np.random.default_rng(5)
+    settings = {"dim": 4, "lr": 0.05, "reg": 1e-2, "epochs": 2, "batch": 32, "seed": 7}
+    for n_items, n, layers in ((12, 200, 3), (90, 160, 3), (90, 160, 2), (12, 200, 1)):  # a dense graph and a thin one
+        rows = sorted({(int(u) * 3, int(i) + 100) for u, i in zip(rng.integers(0, 30, n), rng.integers(0, n_items, n))})
+        model = rankers.lightgcn(frame(spark, rows, "user_id long, item_id long"), layers=layers, **settings)
+        want = plain_lightgcn(rows, layers=layers, **settings)
+        got = {(r.kind, r.id): r.factors for r in model.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    plan = rankers.factor_scores(model)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan.split("InMemoryRelation")[0]  # users and items are read from one model
+
+
 def test_item_texts(spark):
     items = frame(spark, [(1, "a"), (2, "b"), (3, "c")], "item_id int, k string")
     content = frame(spark, [("a", "x", None), ("b", None, " ")], "k string, p string, q string")
