@@ -68,8 +68,8 @@ def item_similarity(pairs: DataFrame) -> DataFrame:
 
 
 def neighbours(sim: DataFrame, k: int) -> DataFrame:
-    """The k nearest b of each a."""
-    return sim.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("_n") <= k).drop("_n")
+    """The k nearest b of each a; equal similarities, rounded, in order of b."""
+    return sim.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", DIGITS)), "b"))).where(F.col("_n") <= k).drop("_n")
 
 
 def itemknn(pairs: DataFrame, k: int | None = None) -> DataFrame:
@@ -95,12 +95,155 @@ def userknn(pairs: DataFrame) -> DataFrame:
     return unseen(s.select("user_id", "item_id", F.round(F.col("s") / F.col("r"), DIGITS).alias("score")), pairs)
 
 
-def userknn_neighbours(pairs: DataFrame, k: int) -> DataFrame:
-    """The same over each user's k nearest users only, which needs the pairs of users that share an item."""
-    flipped = pairs.select(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"))
-    near = neighbours(item_similarity(flipped), k)
-    s = near.join(pairs.withColumnRenamed("user_id", "b"), "b").groupBy(F.col("a").alias("user_id"), "item_id").agg(F.round(F.sum("sim"), DIGITS).alias("score"))
-    return unseen(s, pairs)
+def userknn_neighbours(pairs: DataFrame, k: int, block: int = 2_048, part_pairs: int = 5_000_000) -> DataFrame:
+    """The same over each user's k nearest users only; equal cosines, rounded, in order of the user. pairs: distinct.
+
+    Blocks of users meet all users, part by part, in matrix products; a task
+    keeps its block's k nearest, so pairs of users are neither dealt nor
+    written. Neighbours' items are summed in the same way. A part has about
+    part_pairs pairs (and one user at least). Null users and items have no
+    neighbours by them; a neighbour's null item has a score.
+    """
+    user, item = (pairs.schema[c].dataType.simpleString() for c in ("user_id", "item_id"))
+    sets = _cut(pairs.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list("item_id").alias("items")))
+    size = sets.agg(F.count("*").alias("users"), F.sum("n").alias("pairs")).first()
+    blocks, parts = max(1, -(-size["users"] // block)), max(1, -(-(size["pairs"] or 0) // part_pairs))
+
+    def packed(count: int, name: str) -> DataFrame:
+        rows = sets.groupBy(F.pmod(F.xxhash64("user_id", F.lit(count)), F.lit(count)).cast("int").alias(name)).agg(F.collect_list(F.struct("user_id", "n", "items")).alias("rows"))
+        part = lambda c: F.transform("rows", lambda r: r[c])
+        cols = (("users", part("user_id")), ("n", part("n")), ("sizes", F.transform("rows", lambda r: F.size(r["items"]))), ("items", F.flatten(part("items"))))
+        return _cut(rows.select(name, *[c.alias(f"{name}_{k}") for k, c in cols]).repartitionById(count, name))
+
+    left, right = packed(blocks, "a"), packed(parts, "b").hint("shuffle_replicate_nl")
+    schema = f"a int, users array<{user}>, counts array<long>, near array<{user}>, sims array<double>"
+
+    def meet(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                own, other = _Sets(r.a_users, r.a_n, r.a_sizes, r.a_items), _Sets(r.b_users, r.b_n, r.b_sizes, r.b_items)
+                yield _near_frame(r.a, own.users, _nearest(own, other, k))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = np.concatenate([np.repeat(np.arange(len(c)), c) for c in pdf["counts"]])
+        found = row, np.concatenate([_plain(x) for x in pdf["near"]]), np.concatenate(list(pdf["sims"]))
+        return _near_frame(pdf["a"].iloc[0], _plain(pdf["users"].iloc[0]), _k_best(found, k))
+
+    def score(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                row = np.repeat(np.arange(len(r.users)), r.counts)
+                for at, items, total in _neighbour_sums(row, _plain(r.near), np.asarray(r.sims), _Sets(r.b_users, r.b_n, r.b_sizes, r.b_items)):
+                    yield pd.DataFrame({"user_id": _plain(r.users)[at], "item_id": items, "score": total})
+
+    near = left.crossJoin(right).mapInPandas(meet, schema)
+    if parts > 1:
+        near = _cut(near.groupBy("a").applyInPandas(merge, schema))
+    s = near.crossJoin(right).mapInPandas(score, f"user_id {user}, item_id {item}, score double")
+    return unseen(s.groupBy("user_id", "item_id").agg(F.round(F.sum("score"), DIGITS).alias("score")), pairs)
+
+
+def _plain(x) -> np.ndarray:
+    """An array of numbers or strings, of a type that numpy can sort."""
+    x = np.asarray(x)
+    return np.array(x.tolist()) if x.dtype == object else x
+
+
+class _Sets:
+    """Users with the number of their pairs and their items, one after the other; null items are counted only."""
+
+    def __init__(self, users, n, sizes, items):
+        self.users, self.n, self.sizes, self.items = _plain(users), np.asarray(n, float), np.asarray(sizes, np.int64), _plain(items)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def cut(self, lo: int, hi: int) -> _Sets:
+        at = slice(int(self.sizes[:lo].sum()), int(self.sizes[:hi].sum()))
+        return _Sets(self.users[lo:hi], self.n[lo:hi], self.sizes[lo:hi], self.items[at])
+
+
+def _near_frame(a: int, users: np.ndarray, best: tuple) -> pd.DataFrame:
+    row, near, sims = best
+    return pd.DataFrame({"a": [a], "users": [users], "counts": [np.bincount(row, minlength=len(users))], "near": [near], "sims": [sims]})
+
+
+def _k_best(found: tuple, k: int) -> tuple:
+    """The first k of each row by cosine, rounded, and user; found: rows, users, cosines."""
+    row, who, sim = found
+    order = np.lexsort((who, -np.round(sim, DIGITS), row))
+    row = row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    order = order[place < k]
+    return found[0][order], who[order], sim[order]
+
+
+def _nearest(own: _Sets, other: _Sets, k: int, width: int = 4_096, step: int = 1_024) -> tuple:
+    """Rows of `own`, users of `other` and their cosines, at most k a row.
+
+    Counts of common items are whole numbers in float32. They are held against
+    the k-th best so far with a margin; what passes has its cosine worked out in full.
+    """
+    found, held, best = [], 0, None
+    floor = np.full(len(own.users), 1e-12)
+    root = np.sqrt(own.n)
+    for lo in range(0, len(other.users), width):
+        part = other.cut(lo, lo + width)
+        common = np.intersect1d(own.items, part.items)
+        count = np.zeros((len(own.users), len(part.users)), np.float32)
+        for c in range(0, len(common), step):
+            some = common[c : c + step]
+            one, two = np.zeros((len(own.users), len(some)), np.float32), np.zeros((len(part.users), len(some)), np.float32)
+            for matrix, x in ((one, own), (two, part)):
+                place = np.minimum(np.searchsorted(some, x.items), len(some) - 1)
+                mine = some[place] == x.items
+                matrix[x.row[mine], place[mine]] = 1
+            count += one @ two.T
+        _, i, j = np.intersect1d(own.users, part.users, return_indices=True)
+        count[i, j] = 0
+        near = count * (1 / np.sqrt(part.n)).astype(np.float32)
+        low = np.maximum(floor * root * (1 - 1e-5), 1e-12)
+        hit = near >= low.astype(np.float32)[:, None]
+        if near.shape[1] > k and np.count_nonzero(hit) > 2 * k * len(near):  # at first most would pass: this part's own k-th best bounds them
+            low = np.maximum(low, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] * (1 - 1e-5))
+            hit = near >= low.astype(np.float32)[:, None]
+        i, j = np.nonzero(hit)
+        found.append((i, part.users[j], count[i, j].astype(float) / np.sqrt(own.n[i] * part.n[j])))
+        held += len(i)
+        if best is None or held > 2 * k * len(near) or lo + width >= len(other.users):
+            best = _k_best(tuple(np.concatenate(x) for x in zip(*found, strict=True)), k)
+            found, held = [best], 0
+            last = np.searchsorted(best[0], np.arange(len(near)), "right") - 1
+            full = np.bincount(best[0], minlength=len(near)) == k
+            floor[full] = best[2][last[full]]
+    return best
+
+
+def _neighbour_sums(row: np.ndarray, near: np.ndarray, sims: np.ndarray, sets: _Sets, most: int = 1_000_000):
+    """Sums of cosines by row and item over those of `near` that are in `sets`: frames of rows, items, sums, to be summed again."""
+    by = np.argsort(sets.users, kind="stable")
+    place = np.minimum(np.searchsorted(sets.users[by], near), len(by) - 1)
+    mine = sets.users[by][place] == near
+    row, who, sims = row[mine], by[place[mine]], sims[mine]
+    bare = sets.n[who] > sets.sizes[who]  # with a null item
+    if bare.any():
+        hit, total = _summed(row[bare], sims[bare])
+        yield hit, [None] * len(hit), total
+    items, item = np.unique(sets.items, return_inverse=True)
+    # rows in order, some at a time, so that their sums and their neighbours' items are few enough
+    ends = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else []
+    work = np.cumsum(np.r_[0, sets.sizes[who]])[ends] if len(row) else []
+    lo = 0
+    while lo < len(ends) - 1:
+        hi = int(np.searchsorted(work, work[lo] + most, "right")) - 1
+        hi = max(lo + 1, min(hi, lo + max(1, 8 * most // max(1, len(items)))))
+        at = slice(ends[lo], ends[hi])
+        n = sets.sizes[who[at]]
+        cell = np.repeat(sets.first[who[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        total = np.bincount(np.repeat(row[at] - lo, n) * len(items) + item[cell], weights=np.repeat(sims[at], n), minlength=1)
+        hit = np.flatnonzero(total)
+        if len(hit):
+            yield lo + hit // len(items), items[hit % len(items)], total[hit]
+        lo = hi
 
 
 def tfidf(docs: DataFrame, item: str, text: str, vocabulary: int = VOCABULARY) -> DataFrame:

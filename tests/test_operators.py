@@ -309,6 +309,35 @@ def test_lightgcn_equals_plain_propagation_and_trains_once(spark):
     assert "InPandas" not in plan.split("InMemoryRelation")[0]  # users and items are read from one model
 
 
+def test_user_neighbours_in_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = {(int(u) * 2, int(i)) for u, i in zip(rng.integers(0, 60, 420), rng.integers(0, 15, 420))}
+    rows |= {(200 + u, i) for u in range(20) for i in (1, 2, 3 + u % 2)}  # users alike, so that cosines tie
+    rows |= {(300, 99), (301, None), (2, None), (None, 3)}  # an item of its own, null items, a null user
+    own = {}
+    for u, i in rows:
+        own.setdefault(u, set()).add(i)
+    own.pop(None)
+    want = {}
+    for u, x in own.items():
+        sim = {v: len((x & y) - {None}) / (len(x) * len(y)) ** 0.5 for v, y in own.items() if v != u and (x & y) - {None}}
+        for v in sorted(sim, key=lambda v: (-round(sim[v], 12), v))[:7]:
+            for i in own[v]:
+                if i is None or i not in x:
+                    want[u, i] = want.get((u, i), 0) + sim[v]
+    df = frame(spark, list(rows), "user_id long, item_id int")
+    for options in ({}, {"block": 7, "part_pairs": 60}):
+        near = rankers.userknn_neighbours(df, 7, **options)
+        got = {(r.user_id, r.item_id): r.score for r in near.collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    # no pair of users is joined on an item and dealt
+    assert "item_id#" not in "".join(x for x in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    short = rankers._Sets([1, 2], [2, 2], [2, 2], [5, 6, 5, 7])
+    many = rankers._Sets(np.arange(10, 60), np.full(50, 2), np.full(50, 2), np.tile([5, 6], 50))
+    row, who, sim = rankers._nearest(short, many, 3, width=8, step=1)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and who.tolist() == [10, 11, 12] * 2 and np.allclose(sim, [1] * 3 + [0.5] * 3)
+
+
 def test_item_texts(spark):
     items = frame(spark, [(1, "a"), (2, "b"), (3, "c")], "item_id int, k string")
     content = frame(spark, [("a", "x", None), ("b", None, " ")], "k string, p string, q string")
