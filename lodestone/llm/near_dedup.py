@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clear, components, dealt, dropped, lowered, released, sorted_groups, tables, union_all, written
+from .shared import clear, components, dealt, dropped, lowered, released, sorted_groups, tables, union_all, without, written
 
 WORDS = re.compile(r"[^ \t-\r]+").findall
 POSITIONS, TREE_POSITIONS = 128, 64
@@ -383,4 +383,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     named = groups(docs, id_col=id_col, text_col=text_col, **options).groupBy(*key).agg(F.bool_or("kept").alias("kept"))
     gone = written(named.where("not kept").drop("kept"), "near-dropped")
     clear(docs.sparkSession, keep=others | {gone._scratch})
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_key"]), "left_anti")
+    key = F.xxhash64(f"d.{text_col}")
+    return without(docs, gone, F.col(f"d.{id_col}").eqNullSafe(F.col("g.gone_id")) & (key == F.col("g.gone_key")), key, F.col("g.gone_key"))

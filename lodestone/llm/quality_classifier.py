@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, clear, tables, written
+from .shared import WORD, clear, tables, without, written
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("log_words", "symbol_share", "bang_share", "pipe_share", "upper_share", "digit_share", "repeat_share", "line_share", "long_words")
@@ -157,6 +157,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Texts are not carried through the classification: the rejected rows' id,
     text hash, host and path are, and rows alike in these have the same score.
+    Texts of rows that stay are not dealt either, but for those that meet a
+    rejected one's mark by chance.
     """
     others = tables(docs.sparkSession)
     scored = classify(docs, labels, id_col, text_col, host_col, path_col, tag=True, **options)
@@ -164,4 +166,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     gone = written(gone, "quality-rejected")
     clear(docs.sparkSession, keep=others | {gone._scratch})
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.__id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.__key")) & F.col(f"d.{host_col}").eqNullSafe(F.col("g.__host")) & F.col(f"d.{path_col}").eqNullSafe(F.col("g.__path"))
-    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    return without(docs, gone, same, F.xxhash64(f"d.{text_col}"), F.col("g.__key"))

@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII space and the controls TAB to CR.
@@ -86,6 +86,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def without(docs: DataFrame, gone: DataFrame, same: Column, key: Column, gone_key: Column, bits: int = 24) -> DataFrame:
+    """The rows of `docs` (known as d) that have no match in `gone` (known as g) by the condition `same`; few rows with texts are dealt.
+
+    key, gone_key: non-null longs of either side, equal where rows match. A table of
+    2^bits marks, a bit for each key of `gone`, goes to all tasks (2^(bits - 6)
+    numbers at most, whatever the input). Rows without a mark stay where they
+    lie; those with one, some of them by chance, are joined with `gone`.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(1 << bits))
+    word = lambda c: F.shiftright(place(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(c), F.lit(64)).cast("int"))
+    marks = gone.alias("g").groupBy(word(gone_key).alias("__word")).agg(F.bit_or(bit(gone_key)).alias("__bits"))
+    marks = written(marks, "marks")
+    met = docs.alias("d").join(F.broadcast(marks).alias("m"), word(key) == F.col("m.__word"), "left")  # bounded, as said above
+    marked = F.coalesce(F.col("m.__bits").bitwiseAND(bit(key)) != 0, F.lit(False))
+    rest = met.where(marked).select("d.*").alias("d").join(gone.alias("g"), same, "left_anti")
+    return met.where(~marked).select("d.*").unionAll(rest)
+
+
 def released() -> None:
     """Give what this Python worker has freed back to the system, as it may stay idle beside other tasks for a while."""
     import ctypes

@@ -3,6 +3,9 @@ import shutil
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm.near_dedup import drop_near
+from lodestone.llm.quality_classifier import keep_good
+from lodestone.llm.shared import without, written
 
 from .common import documents, empty
 
@@ -53,3 +56,24 @@ def test_all_ten_operators_are_registered():
 
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert [k for k, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_texts_that_stay_are_not_dealt(spark):
+    """What the quality and near stages drop is joined with marked rows only; the result is that of the plain join."""
+    docs = documents(spark).withColumn("__word", F.lit("x")).cache()
+    gone = written(docs.where("doc_id is null or doc_id in (3, 300, 305)").select(F.col("doc_id").alias("gone_id"), F.xxhash64("text").alias("gone_key")).distinct(), "gone")
+    key = F.xxhash64("d.text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.gone_id")) & (key == F.col("g.gone_key"))
+    want = sorted(map(str, docs.alias("d").join(gone.alias("g"), same, "left_anti").collect()))
+    for bits in (6, 24):  # one word, in which rows meet marks by chance, too
+        got = without(docs, gone, same, key, F.col("g.gone_key"), bits)
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == want
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (keep_good(docs, labels), drop_near(docs, similarity=0.8, width=5)):
+            plan = df._jdf.queryExecution().sparkPlan()
+            assert plan.nodeName() == "Union" and "SortMergeJoin" not in plan.children().apply(0).toString() and "SortMergeJoin" in plan.children().apply(1).toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
