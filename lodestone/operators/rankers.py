@@ -1,16 +1,22 @@
 """Top-k rankers over (user_id, item_id) rows. Scores are long frames (user_id, item_id, score); a pair without a row scores 0.
 
 Matrix products are joins on the shared dimension with a sum, so they are dealt
-by item or user; only the closed-form inverses and the trained models run in
-one task, which their item limits guard.
+by item or user; only the closed-form inverses and the item factors run in one
+task, which their item limits guard.
 """
 
 from __future__ import annotations
 
+import hmac
+import json
+import secrets
+import socket
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import BarrierTaskContext, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -518,64 +524,214 @@ def propagate(edges: DataFrame, state: DataFrame, layers: int = 3) -> DataFrame:
     return total.groupBy("node", "dim").agg((F.sum("value") / (layers + 1)).alias("value"))
 
 
-def lightgcn(pairs: DataFrame, dim: int = 32, layers: int = 3, lr: float = 0.05, reg: float = 1e-4, epochs: int = 50, batch: int = 2048, seed: int = SEED, max_pairs: int = 5_000_000) -> DataFrame:
-    """Graph-propagated factors (kind, id, factors) trained in one task by pairwise ranking, Adam, all layers' mean.
+def lightgcn(pairs: DataFrame, dim: int = 32, layers: int = 3, lr: float = 0.05, reg: float = 1e-4, epochs: int = 50, batch: int = 2048, seed: int = SEED, max_pairs: int = 5_000_000, task_pairs: int = 50_000) -> DataFrame:
+    """Graph-propagated factors (kind, id, factors) trained by pairwise ranking, Adam, all layers' mean.
 
     Propagation is linear and symmetric, so the gradient of the start is the
     propagated gradient of the end. Users' layers are products with items', and
     items' second next layer is the items' gram times it: so a step costs two
     products with all pairs (`_Bipartite`), whatever the layers, and only the
-    batch's users are propagated. More than max_pairs pairs raise ValueError.
+    batch's users are propagated.
+
+    Ranges of users are dealt to tasks that run at the same time (a barrier
+    stage), one for task_pairs pairs and as many as the session has slots. Each
+    holds its users' rows and all items', and what the items get from users is
+    added up over sockets (`_Peers`) in the order of the tasks. So all take the
+    steps that one task would; their number changes the last digits only. With
+    dynamic allocation, which has no barrier stages, one task trains. More than
+    max_pairs pairs a task raise ValueError. Ids are longs; a null user or item
+    is a node as any other, the last one.
     """
-    if (n := pairs.count()) > max_pairs:
-        raise ValueError(f"{n} pairs are more than {max_pairs}")
+    spark = pairs.sparkSession
+    parts = [x for c in ("user", "item") for x in (F.coalesce(F.col(f"{c}_id").cast("long"), F.lit(0)).alias(c), F.col(f"{c}_id").isNull().alias(f"no_{c}"))]
+    pairs = pairs.select(*parts).persist(StorageLevel.DISK_ONLY)
+    n = pairs.count()
+    tasks = max(1, min(_slots(spark), -(-n // task_pairs)))
+    if n > max_pairs * tasks:
+        pairs.unpersist()
+        raise ValueError(f"{n} pairs are more than {max_pairs} for each of {tasks} tasks")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["user_id", "item_id"])
-        users, u = np.unique(pdf["user_id"], return_inverse=True)
-        items, i = np.unique(pdf["item_id"], return_inverse=True)
-        n_users, n_items = len(users), len(items)
-        graph = _Bipartite(u, i, n_users, n_items)
-
-        def spread(start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Sums of the items' layers but for the last, and of all of them. first: the layer after the start, which comes from the users."""
-            now = [start, first]
-            while len(now) <= layers:
-                now.append(graph.gram(now[-2]))
-            return sum(now[:layers], np.zeros_like(start)), sum(now[: layers + 1], np.zeros_like(start))
-
-        rng = np.random.default_rng(seed)
-        e = rng.normal(0, 0.1, (n_users + n_items, dim))
-        m, v = np.zeros_like(e), np.zeros_like(e)
-        met = graph.to_items(e[:n_users])
-        for step in range(1, epochs * -(-len(u) // batch) + 1):
-            short, total = spread(e[n_users:], met)
-            k = rng.integers(0, len(u), batch)
-            a, b, c = u[k], i[k], rng.integers(0, n_items, batch)
+    def run(batches):
+        empty = pd.DataFrame({c: np.zeros(0, t) for c, t in (("user", int), ("no_user", bool), ("item", int), ("no_item", bool))})
+        yield from _train_graph(pd.concat([pdf for pdf in batches if len(pdf)] or [empty]), BarrierTaskContext.get() if tasks > 1 else None, dim, layers, lr, reg, epochs, batch, seed)
+
+    model = (_by_range(pairs, tasks) if tasks > 1 else pairs.repartition(1)).mapInPandas(run, "kind string, id long, factors array<double>", barrier=tasks > 1)
+    # dealt, as scores are worked out where users are; cut, as users and items are read apart and would be trained for each
+    model = _cut(model.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "id"))
+    if spark.conf.get("spark.checkpoint.dir", None):  # else the model is worked out when it is read
+        pairs.unpersist()
+    return model
+
+
+def _by_range(pairs: DataFrame, parts: int) -> DataFrame:
+    """Ranges of users with about as many pairs, in exactly `parts` partitions, whatever the session's settings; null users in the last."""
+    known = pairs.where(~F.col("no_user"))
+    ends = known.approxQuantile("user", [k / parts for k in range(1, parts)], 0.01 / parts)
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda end: F.col("user") > end))
+    return pairs.withColumn("part", F.when(F.col("no_user"), parts - 1).otherwise(part)).repartitionById(parts, "part").drop("part")
+
+
+def _slots(spark: SparkSession) -> int:
+    """The tasks that can run at once: a barrier stage with more would not start. 1 where there are no barrier stages."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    jvm = context._jsc.sc()
+    return max(1, jvm.maxNumConcurrentTasks(jvm.resourceProfileManager().defaultResourceProfile()))
+
+
+class _Peers:
+    """The tasks of a barrier stage, or one task alone (context None), which add up arrays.
+
+    All meet once through Spark's own messages, which take a second, and then
+    over sockets: the first task takes the others' parts, adds them in the
+    order of the tasks and sends the sum back. A lost task closes its socket,
+    which fails the others, and Spark repeats the stage.
+    """
+
+    def __init__(self, context: BarrierTaskContext | None, facts: dict, timeout: float = 600.0):
+        """facts: what the others shall know of this task; `facts` of all in the tasks' order."""
+        self.facts, self.others, self.first = [facts], [], None
+        if context is None:
+            return
+        me, listener = context.partitionId(), None
+        host = context.getTaskInfos()[0].address.rsplit(":", 1)[0].strip("[]")
+        if me == 0:
+            listener = socket.create_server(("", 0), family=socket.AF_INET6 if ":" in host else socket.AF_INET, backlog=1024)
+            listener.settimeout(timeout)
+            facts = {**facts, "port": listener.getsockname()[1], "token": secrets.token_hex(16)}
+        self.facts = [json.loads(x) for x in context.allGather(json.dumps(facts))]
+        token = bytes.fromhex(self.facts[0]["token"])
+        if me:
+            self.first = self._set(socket.create_connection((host, self.facts[0]["port"]), timeout), timeout)
+            self.first.sendall(token + me.to_bytes(4, "big"))
+            return
+        found = {}
+        while len(found) < len(self.facts) - 1:
+            other = self._set(listener.accept()[0], timeout)
+            hello = bytearray(len(token) + 4)
+            try:
+                self._fill(other, hello)
+            except OSError:
+                other.close()
+                continue
+            if hmac.compare_digest(bytes(hello[: len(token)]), token):
+                found[int.from_bytes(hello[len(token) :], "big")] = other
+            else:
+                other.close()
+        listener.close()
+        self.others = [found[k] for k in sorted(found)]
+
+    @staticmethod
+    def _set(s: socket.socket, timeout: float) -> socket.socket:
+        s.settimeout(timeout)
+        s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        return s
+
+    @staticmethod
+    def _fill(s: socket.socket, buffer) -> None:
+        view = memoryview(buffer).cast("B")
+        while len(view):
+            got = s.recv_into(view)
+            if not got:
+                raise ConnectionError("a task of this stage has gone")
+            view = view[got:]
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """The sum of all tasks' arrays, which have one shape and are of doubles."""
+        total = np.array(x, dtype=float)
+        if self.first is not None:
+            self.first.sendall(memoryview(total).cast("B"))
+            self._fill(self.first, total)
+        elif self.others:
+            part = np.empty_like(total)
+            for s in self.others:
+                self._fill(s, part)
+                total += part
+            for s in self.others:
+                s.sendall(memoryview(total).cast("B"))
+        return total
+
+    def close(self) -> None:
+        for s in [*self.others, *([] if self.first is None else [self.first])]:
+            s.close()
+
+
+def _normal(rng: np.random.Generator, rows: int, dim: int, keep: bool = True, block: int = 65_536) -> np.ndarray | None:
+    """The next rows of the start; drawn in blocks if only passed over."""
+    if keep:
+        return rng.normal(0, 0.1, (rows, dim))
+    for lo in range(0, rows, block):
+        rng.normal(0, 0.1, (min(block, rows - lo), dim))
+    return None
+
+
+def _train_graph(pdf: pd.DataFrame, context: BarrierTaskContext | None, dim: int, layers: int, lr: float, reg: float, epochs: int, batch: int, seed: int) -> Iterator[pd.DataFrame]:
+    """A task's share of `lightgcn`: the factors of its users and, from the first task, of all items. All tasks draw the same numbers."""
+    user, no_user, item, no_item = (c.to_numpy() for _, c in pdf.sort_values(["no_user", "user", "no_item", "item"])[["user", "no_user", "item", "no_item"]].items())
+    new = np.r_[True, (user[1:] != user[:-1]) | (no_user[1:] != no_user[:-1])][: len(user)]
+    users, u = _ids(user[new], no_user[new]), np.cumsum(new) - 1
+    me = context.partitionId() if context else 0
+    peers = _Peers(context, {"users": len(users), "pairs": len(u), "items": np.unique(item[~no_item]).tolist(), "no_item": bool(no_item.any())})
+    known, blank = np.unique(np.concatenate([np.array(f["items"], dtype=int) for f in peers.facts])), any(f["no_item"] for f in peers.facts)
+    n_users, n_pairs, n_items = sum(f["users"] for f in peers.facts), sum(f["pairs"] for f in peers.facts), len(known) + blank
+    before = {k: sum(f[k] for f in peers.facts[:me]) for k in ("users", "pairs")}
+    if not n_pairs:
+        return
+    i = np.where(no_item, len(known), np.searchsorted(known, item))
+    graph = _Bipartite(u, i, len(users), n_items, peers, 8 * n_pairs >= n_users * n_items)
+
+    def spread(start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means over all layers of the items' layers but for the last, and of all of them. first: the layer after the start, which comes from the users."""
+        now = [start, first]
+        while len(now) <= layers:
+            now.append(graph.gram(now[-2]))
+        return sum(now[:layers], np.zeros_like(start)) / (layers + 1), sum(now[: layers + 1], np.zeros_like(start)) / (layers + 1)
+
+    rng = np.random.default_rng(seed)
+    _normal(rng, before["users"], dim, False)
+    e = _normal(rng, len(users), dim)
+    _normal(rng, n_users - before["users"] - len(users), dim, False)
+    y = _normal(rng, n_items, dim)
+    (m, v), (my, vy) = np.zeros((2, *e.shape)), np.zeros((2, *y.shape))
+    decay = reg / (n_users + n_items)
+    met = peers.add(graph.to_items(e))
+    for step in range(1, epochs * -(-n_pairs // batch) + 1):
+        short, total = spread(y, met)
+        k, c = rng.integers(0, n_pairs, batch), rng.integers(0, n_items, batch)
+        mine = (k >= before["pairs"]) & (k < before["pairs"] + len(u))
+        k, c = k[mine] - before["pairs"], c[mine]
+        a, b = u[k], i[k]
+        got, who, change = np.zeros((2, n_items, dim)), a, np.zeros((0, dim))
+        if len(k):
             near = graph.of(a)
-            fa, gap = (e[a] + near.to_users(short)) / (layers + 1), (total[b] - total[c]) / (layers + 1)
+            fa, gap = e[a] / (layers + 1) + near.to_users(short), total[b] - total[c]
             s = (1 / (1 + np.exp(np.einsum("ij,ij->i", fa, gap))))[:, None] / batch
-            g = np.zeros_like(short)
-            hit, change = _summed(np.r_[b, c], np.vstack([-s * fa, s * fa]))
-            g[hit] = change
-            own = -s * gap
-            short, total = spread(g, near.to_items(own))
-            who, own = _summed(a, own)
-            rate, root, met = lr / (1 - 0.9**step), np.sqrt(1 - 0.999**step), np.zeros_like(short)
-            for lo, hi, part in graph.parts:  # so that each part stays in the processor's cache
-                g = part.to_users(short)
-                mine = slice(*np.searchsorted(who, [lo, hi]))
-                g[who[mine] - lo] += own[mine]
-                _adam(e[lo:hi], m[lo:hi], v[lo:hi], g / (layers + 1) + reg / len(e) * e[lo:hi], rate, root)
-                met += part.to_items(e[lo:hi])
-            _adam(e[n_users:], m[n_users:], v[n_users:], total / (layers + 1) + reg / len(e) * e[n_users:], rate, root)
-        short, total = spread(e[n_users:], met)
-        f = np.vstack([e[:n_users] + graph.to_users(short), total]) / (layers + 1)
-        return pd.DataFrame({"kind": ["user"] * n_users + ["item"] * n_items, "id": [*users, *items], "factors": list(f)})
-
-    model = pairs.select("user_id", "item_id").groupBy().applyInPandas(run, "kind string, id long, factors array<double>")
-    # dealt, as scores are worked out where users are; cut, as users and items are read apart and would be trained for each
-    return _cut(model.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "id"))
+            hit, g = _summed(np.r_[b, c], np.vstack([-s * fa, s * fa]))
+            got[0, hit] = g
+            got[1] = near.to_items(-s * gap)
+            who, change = _summed(a, -s * gap / (layers + 1))
+        short, total = spread(*peers.add(got))
+        rate, root, met = lr / (1 - 0.9**step), np.sqrt(1 - 0.999**step), np.zeros_like(y)
+        for lo, hi, part in graph.parts:  # so that each part stays in the processor's cache
+            g = part.to_users(short)
+            at = slice(*np.searchsorted(who, [lo, hi]))
+            g[who[at] - lo] += change[at]
+            g += decay * e[lo:hi]
+            _adam(e[lo:hi], m[lo:hi], v[lo:hi], g, rate, root)
+            met += part.to_items(e[lo:hi])
+        _adam(y, my, vy, total + decay * y, rate, root)
+        met = peers.add(met)
+    short, total = spread(y, met)
+    peers.close()
+    if len(users):
+        yield pd.DataFrame({"kind": "user", "id": users, "factors": list(e / (layers + 1) + graph.to_users(short))})
+    if me == 0:
+        yield pd.DataFrame({"kind": "item", "id": _ids(np.r_[known, [0] * blank], np.arange(n_items) == len(known)), "factors": list(total)})
+
+
+def _ids(ids: np.ndarray, null: np.ndarray) -> pd.Series:
+    return pd.Series(pd.arrays.IntegerArray(ids.astype("int64"), null))
 
 
 def _summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -587,18 +743,17 @@ def _summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _adam(e: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float, root: float) -> None:
-    """Adam's step in place; rate and root have the corrections of the two means. g is used up."""
+    """Adam's step in place; m and v are the decayed sums, 10 and 1000 times the means. rate and root have the corrections of the means. g is used up."""
     m *= 0.9
-    m += 0.1 * g
+    m += g
     v *= 0.999
     g *= g
-    g *= 0.001
     v += g
     np.sqrt(v, out=g)
-    g /= root
-    g += 1e-8
+    scale = root * np.sqrt(1000)
+    g += 1e-8 * scale
     np.divide(m, g, out=g)
-    g *= rate
+    g *= 0.1 * rate * scale
     e -= g
 
 
@@ -626,22 +781,24 @@ class _Links:
 
 
 class _Bipartite:
-    """The user-item graph, edges weighted 1 / sqrt(degree * degree), u sorted; every user and item has an edge.
+    """A task's users, and all items, of the graph with edges weighted 1 / sqrt(degree * degree); u sorted, each user has an edge.
 
-    Where an eighth or more of all pairs are edges they are a matrix, else they
-    are gathered and summed by row. parts: users from, to, and their edges.
+    Where an eighth or more of all pairs are edges (dense) they are a matrix,
+    else they are gathered and summed by row. parts: users from, to, and their
+    edges. The items' degrees and gram are of all tasks.
     """
 
-    def __init__(self, u: np.ndarray, i: np.ndarray, n_users: int, n_items: int, block: int = 2048, block_edges: int = 131_072, max_gram: int = 2_000):
-        self.n_items, self.item = n_items, i
-        self.weight = (1 / np.sqrt(np.bincount(u).astype(float)[u] * np.bincount(i)[i]))[:, None]
+    def __init__(self, u: np.ndarray, i: np.ndarray, n_users: int, n_items: int, peers: _Peers, dense: bool, block: int = 1024, block_edges: int = 131_072, max_gram: int = 2_000):
+        self.n_items, self.item, self.peers = n_items, i, peers
+        degree = peers.add(np.bincount(i, minlength=n_items))
+        self.weight = (1 / np.sqrt(np.bincount(u).astype(float)[u] * degree[i]))[:, None]
         self.first = np.searchsorted(u, np.arange(n_users + 1))
         self.matrix = self._gram = None
-        if 8 * len(u) >= n_users * n_items:
+        if dense:
             self.matrix = np.zeros((n_users, n_items))
             np.add.at(self.matrix, (u, i), self.weight[:, 0])
             if n_items <= max_gram:
-                self._gram = self.matrix.T @ self.matrix
+                self._gram = peers.add(self.matrix.T @ self.matrix)
         cuts = np.unique(np.r_[np.arange(0, n_users, block), u[np.arange(0, len(u), block_edges)], n_users]).tolist()
         self.parts = [(lo, hi, self._range(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -664,11 +821,13 @@ class _Bipartite:
         return np.vstack([part.to_users(y) for _, _, part in self.parts])
 
     def to_items(self, x: np.ndarray) -> np.ndarray:
-        return sum(part.to_items(x[lo:hi]) for lo, hi, part in self.parts)
+        return sum((part.to_items(x[lo:hi]) for lo, hi, part in self.parts), np.zeros((self.n_items, x.shape[1])))
 
     def gram(self, y: np.ndarray) -> np.ndarray:
-        """To the users and back."""
-        return sum(part.to_items(part.to_users(y)) for _, _, part in self.parts) if self._gram is None else self._gram @ y
+        """To all tasks' users and back."""
+        if self._gram is not None:
+            return self._gram @ y
+        return self.peers.add(sum((part.to_items(part.to_users(y)) for _, _, part in self.parts), np.zeros_like(y)))
 
 
 def item_texts(items: DataFrame, content: DataFrame, key: str, parts: list[str]) -> DataFrame:

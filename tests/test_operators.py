@@ -309,6 +309,27 @@ def test_lightgcn_equals_plain_propagation_and_trains_once(spark):
     assert "InPandas" not in plan.split("InMemoryRelation")[0]  # users and items are read from one model
 
 
+def test_lightgcn_trains_one_model_in_several_tasks(spark):
+    rng = np.random.default_rng(6)
+    settings = {"dim": 4, "lr": 0.05, "reg": 1e-2, "epochs": 2, "batch": 32, "seed": 7}
+    for n_items, n, layers in ((12, 200, 3), (90, 160, 3), (90, 160, 2), (12, 200, 1)):  # a dense graph and a thin one
+        rows = sorted({(int(u) * 3, int(i) + 100) for u, i in zip(rng.integers(0, 30, n), rng.integers(0, n_items, n))})
+        model = rankers.lightgcn(frame(spark, rows, "user_id long, item_id long"), layers=layers, max_pairs=60, task_pairs=20, **settings)  # more pairs than one task may hold
+        want = plain_lightgcn(rows, layers=layers, **settings)
+        got = {(r.kind, r.id): r.factors for r in model.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    # two users for four tasks and batches without a task's pair; nulls are the last nodes, ids beyond a double's digits stay apart
+    rows = [(1, 2**60), (1, 2**60 + 1), (9, 2**60)]
+    settings["batch"] = 1
+    model = rankers.lightgcn(frame(spark, [*rows, (None, 2**60 + 1), (9, None)], "user_id long, item_id long"), task_pairs=1, **settings)
+    last = 2**62
+    want = plain_lightgcn([*rows, (last, 2**60 + 1), (9, last)], layers=3, **settings)
+    got = {(r.kind, last if r.id is None else r.id): r.factors for r in model.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert rankers.lightgcn(frame(spark, [(None, 1), (None, 2)], "user_id long, item_id long"), task_pairs=1, **settings).count() == 3
+    assert rankers.lightgcn(frame(spark, [], "user_id long, item_id long")).collect() == []
+
+
 def test_user_neighbours_in_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = {(int(u) * 2, int(i)) for u, i in zip(rng.integers(0, 60, 420), rng.integers(0, 15, 420))}
